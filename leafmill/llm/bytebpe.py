@@ -106,10 +106,11 @@ class Encoder:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
             self._learn({w for w in words if w not in cache})
-        if len(cache) < CACHE // 2 or all(w in cache for w in words):
+        try:
+            return b"".join(map(cache.__getitem__, words))
+        except KeyError:  # the cache began anew
+            self._learn(set(words))
             return b"".join(map(cache.__getitem__, words))
-        self._learn(set(words))  # the cache began anew
-        return b"".join(map(cache.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

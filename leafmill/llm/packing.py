@@ -117,11 +117,8 @@ class WordEncoder:
         try:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:  # the cache began anew
-            own = {}
-            for w in dict.fromkeys(words):
-                if w not in own:
-                    own[w] = self._alone(w)
-            return b"".join(map(own.__getitem__, words))
+            self._learn(list(dict.fromkeys(words)))
+            return b"".join(map(cache.__getitem__, words))
 
 
 @functools.lru_cache(2)
