@@ -99,8 +99,9 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id: s
         best: dict[tuple[int, int, int], list] = {}
         for pdf in frames:
             for r in pdf.itertuples():
-                ids, values = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.body, "<i8").reshape(-1, r.dim)
-                q_ids, q = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_body, "<i8").reshape(-1, r.dim)
+                ids, values = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.body, "<i8")
+                q_ids, q = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_body, "<i8")
+                values, q = values.reshape(len(ids), r.dim), q.reshape(len(q_ids), r.dim)
                 approx = _cells(values.astype(np.float64)) if r.dim else None
                 exact = values.astype(np.float64) if r.dim else None
                 for n in range(len(q_ids)):
