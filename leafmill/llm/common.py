@@ -40,6 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back to the system, so that idle workers hold little."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,6 +64,16 @@ def parts_for(df: DataFrame, mb: float) -> int:
     return int(min(max(floor, math.ceil(size / (mb * 1e6))), 64 * floor))
 
 
+#: Rows of a narrow side (a few numbers each) that are sent to every task at most; beyond, both sides are shuffled.
+SENT_ROWS = 200_000
+
+
+def joined(big: DataFrame, narrow: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``big`` semi- or anti-joined with ``narrow``, which is counted first: sent to every task only if it has at most SENT_ROWS rows."""
+    narrow = checkpointed(narrow.select(*on))
+    return big.join(F.broadcast(narrow) if narrow.count() <= SENT_ROWS else narrow.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of an undirected graph, as rows ``(node, component)``.
 

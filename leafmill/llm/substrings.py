@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import parts_for
+from leafmill.llm.common import parts_for, trim
 
 #: Bytes hashed at a time; arrays of this many 64-bit numbers stay in a core's cache.
 PIECE = 1 << 17
 MULT = 0x9E3779B97F4A7C15
 #: Stored MB of input for each block.
-BLOCK_MB = 3.0
+BLOCK_MB = 2.0
 #: Stands for a null id: above all others.
 NO_ID = (1 << 63) - 1
 
@@ -149,8 +149,8 @@ def _values(packed: bytes, first: int) -> np.ndarray:
     return np.uint64(first) + np.cumsum(np.frombuffer(packed, "<u8" if packed[0] else "<u4", offset=1).astype(np.uint64))
 
 
-def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's id, text, ``n_bytes``, ``removed`` (array of [start, end) runs of bytes, maximal, in order) and the bytes kept.
+def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's id, ``n_bytes``, ``removed`` (array of [start, end) runs of bytes, maximal, in order), the bytes kept, and ``carry`` as a struct.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a row with a smaller id. Strings are judged on the input.
     Null texts count as empty. A null id is above all others; rows of equal id are never earlier than each other. Texts are
@@ -161,8 +161,9 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     if not 8 <= gram < length <= 255 or length - gram > 31:
         raise ValueError("gram must be under length, by 31 at most")
     parts = parts_for(docs, BLOCK_MB)
-    blocks = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("body")).select(
-        F.pmod(F.xxhash64("id", F.crc32("body")), F.lit(parts)).cast("int").alias("blk"), "id", "body"
+    other = F.struct(*carry).alias("other") if carry else F.lit(None).cast("int").alias("other")
+    blocks = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("body"), other).select(
+        F.pmod(F.xxhash64("id", F.crc32("body")), F.lit(parts)).cast("int").alias("blk"), "id", "body", "other"
     )
 
     def pass_one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -271,7 +272,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         return pd.DataFrame({"kind": 1, "bucket": int(pdf["bucket"].iat[0]), "blk": pdf["blk"], "body": [zlib.compress(marks[e - n : e].tobytes(), 1) for n, e in zip(sizes, ends, strict=True)]})
 
     def pass_three(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "n_bytes", "removed", "kept"]
+        columns = ["id", "n_bytes", "removed", "kept", "other"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns})
         ids, texts, order = _sorted_rows(pdf)
@@ -297,25 +298,60 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
                     runs[-1][1] = max(runs[-1][1], y)
                 else:
                     runs.append([x, y])
-        rows = []
+        rows, others = [], pdf["other"].tolist() if carry else [None] * len(pdf)
         for n, (i, t) in enumerate(zip(ids, texts, strict=True)):
             kept, at = [], 0
             for x, y in spans[n]:
                 kept.append(t[at:x])
                 at = y
             kept.append(t[at:])
-            rows.append((i, len(t), spans[n], b"".join(kept)))
+            rows.append((i, len(t), spans[n], b"".join(kept), others[order[n]]))
         return pd.DataFrame(rows, columns=columns)
 
     packed, marked = "bucket int, blk int, body binary", "kind int, bucket int, blk int, body binary"
-    flags = blocks.groupBy("blk").applyInPandas(pass_one, packed).groupBy("bucket").applyInPandas(meet, marked)
+    def lean(f):
+        """A worker gives back what a group took before it goes on."""
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = f(pdf)
+            trim()
+            return out
+
+        def two(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            out = f(pdf, state)
+            trim()
+            return out
+
+        return two if f in (pass_two, pass_three) else one
+
+    flags = blocks.groupBy("blk").applyInPandas(lean(pass_one), packed).groupBy("bucket").applyInPandas(lean(meet), marked)
     texts = blocks.groupBy("blk")
-    sent = texts.cogroup(flags.groupBy("blk")).applyInPandas(pass_two, packed)
-    marks = sent.groupBy("bucket").applyInPandas(judge, marked)
-    cut = texts.cogroup(flags.unionAll(marks).groupBy("blk")).applyInPandas(pass_three, "id long, n_bytes long, removed array<array<long>>, kept binary")
+    sent = texts.cogroup(flags.groupBy("blk")).applyInPandas(lean(pass_two), packed)
+    marks = sent.groupBy("bucket").applyInPandas(lean(judge), marked)
+    other = blocks.schema["other"].dataType.simpleString()
+    cut = texts.cogroup(flags.unionAll(marks).groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept binary, other {other}")
     return cut.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
+def without_repeats(docs: DataFrame, length: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with each text cut by ``repeated``, in other order; a character that a cut parts goes whole, and a text may become empty."""
+    found = repeated(docs, length, id=id, text=text, carry=tuple(docs.columns))
+
+    @F.pandas_udf("string")
+    def rest(body: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for b, runs in zip(body, gone, strict=True):
+            parts, at, lost = [], 0, 0
+            for x, y in runs:
+                parts.append(b[at : x - lost])
+                at, lost = x - lost, lost + y - x
+            out.append("".join(p.decode("utf-8", "ignore") for p in (*parts, b[at:])))
+        return pd.Series(out)
+
+    cut = F.when(F.size("removed") > 0, rest("kept", "removed")).otherwise(F.col(f"other.{text}"))
+    return found.select(*(cut.alias(text) if c == text else F.col(f"other.{c}") for c in docs.columns))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Of ``repeated()``'s rows: bytes, removed bytes and runs, and the digest of what is kept."""
     return df.select(
