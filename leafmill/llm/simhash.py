@@ -8,15 +8,18 @@ same part, and the t[i] are chosen by dynamic programming over estimated costs,
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components
+from leafmill.llm.common import checkpointed, components, joined
 
 BITS = 64
+#: Hashes whose bits are counted at a time.
+STEP = 255 * 64
 #: Fingerprints by which the parts and thresholds are chosen; results don't depend on it, only their cost.
 SAMPLE = 2048
 #: Buckets up to this many distinct fingerprints are compared pair by pair; those beyond go by midpoints.
@@ -29,7 +32,6 @@ def fingerprints(texts, shingle: int = 3) -> np.ndarray:
 
     out = np.zeros(len(texts), np.uint64)
     weights = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
-    step = 1 << 16
     for n, text in enumerate(texts):
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
@@ -39,10 +41,18 @@ def fingerprints(texts, shingle: int = 3) -> np.ndarray:
         else:
             grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
         hashes = np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64)
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), step):
-            counts += np.unpackbits(hashes[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[n] = weights[2 * counts > len(hashes)].sum(dtype=np.uint64)
+        out[n] = weights[2 * bit_counts(hashes[:, None]) > len(hashes)].sum(dtype=np.uint64)
+    return out
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of unsigned 64-bit numbers; sums of 255 rows fit a byte."""
+    out = np.zeros(BITS * rows.shape[1], np.int64)
+    for at in range(0, len(rows), STEP):
+        bits = np.unpackbits(np.ascontiguousarray(rows[at : at + STEP]).view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        out += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        out += bits[whole:].sum(axis=0, dtype=np.uint8)
     return out
 
 
@@ -97,8 +107,6 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
 
 
 def _choose(n: int, k: int) -> int:
-    import math
-
     return math.comb(n, k)
 
 
@@ -184,13 +192,185 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id: str
     (they never link others). Equal fingerprints are one node, so copies cost nothing. Repeated rows come out as often as they came in.
     """
     prints = checkpointed(with_fingerprint(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("_text")), shingle, "_text").select("id", F.col("_fp").alias("fp")))
-    nodes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"))
-    nodes = checkpointed(nodes)
-    comp = components(links(nodes, radius))
+    nodes = checkpointed(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")))
+    # links between fingerprints: an id may stand for several texts
+    comp = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("node", "fp")
+    reached = comp.join(nodes, "fp")
+    least = reached.groupBy("component").agg(F.min("least").alias("_least"))
+    classes = nodes.join(reached.join(least, "component").select("fp", "_least"), "fp", "left").select("fp", F.coalesce("_least", "least").alias("component"))
     # the classes are few beside the rows; a hot one is split by the adaptive join
-    classes = nodes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return prints.join(classes, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# --- documents of a given similarity
+
+#: Parts of a long fingerprint, and bits of each part that are tried both ways.
+PARTS, TRIED = 6, 4
+MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
+CACHE = 400_000
+_words: dict[bytes, int] = {}
+
+
+def _learn(word: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    if len(_words) > CACHE:
+        _words.clear()
+    _words[word] = h = xxh64_intdigest(word, 42)
+    return h
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, sorted; of fewer words, the whole sequence is one; of none, there are none."""
+    get, words = _words.get, (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter((h if (h := get(x)) is not None else _learn(x) for x in words), np.uint64, len(words))
+    n = max(1, len(w) - shingle + 1)
+    out = np.full(n, min(len(w), shingle), np.uint64)
+    for i in range(min(len(w), shingle)):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(MIX[0]) + w[i : i + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(MIX[1])
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def sketch(grams: np.ndarray, width: int) -> tuple[int, list[int], list[int]]:
+    """Of a text's shingles: 64 bits to filter by, each part's value, and TRIED masks for each part.
+
+    A bit whose votes are nearly even is the likeliest to differ in a near copy: those of the smallest margins are masked, so that
+    a part's ball takes in the likely flips first, and each text's thresholds are its own.
+    """
+    words = -(-PARTS * width // BITS)
+    h = np.stack([(x := grams * np.uint64(MIX[i % len(MIX)] + 2 * i)) ^ (x >> np.uint64(31)) for i in range(words)], axis=1)
+    margin = 2 * bit_counts(h) - len(grams)
+    values, masks = [], []
+    for p in range(PARTS):
+        m = margin[p * width : (p + 1) * width]
+        values.append(p << 56 | sum(1 << int(b) for b in np.flatnonzero(m > 0)))
+        masks += [1 << int(b) for b in np.argsort(np.abs(m), kind="stable")[:TRIED]]
+    first = sum(1 << int(b) for b in np.flatnonzero(margin[:BITS] > 0))
+    return first - (first >> 63 << 64), values, masks
+
+
+def _flipped(values: Column, mask: Column) -> Column:
+    return F.transform(values, lambda x: x.bitwiseXOR(mask))
+
+
+def _keys(values: str, masks: str) -> Column:
+    """All values of all parts with any of their masks on or off."""
+    parts = []
+    for p in range(PARTS):
+        a = F.array(F.get(values, F.lit(p)))
+        for k in range(TRIED):
+            a = F.concat(a, _flipped(a, F.get(masks, F.lit(p * TRIED + k))))
+        parts.append(a)
+    return F.concat(*parts)
+
+
+def _pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs of each key's rows (key, node, fp) within ``most`` bits; a key has at most BUCKET rows."""
+    group = rows.groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("m")).where(F.size("m") > 1)
+    left = group.select(F.explode("m").alias("x"), "m").select("x", F.expr(f"filter(m, y -> y.node > x.node and bit_count(x.fp ^ y.fp) <= {most})").alias("m"))
+    return left.select(F.col("x.node").alias("a"), F.explode("m.node").alias("b"))
+
+
+def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, node, keeper) of each row: ``node`` stands for its text, ``keeper`` tells the row that stays of each group of near copies.
+
+    Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed exactly for each
+    candidate. Candidates share a part of a long fingerprint but for the likeliest flips, and differ in as few of 64 bits as such
+    texts do (3.6 deviations). Keys of more than BUCKET texts are compared with their least text, and those that aren't near it
+    again among themselves, until few are left. The row with the smallest id stays (nulls last, then the smallest node); of repeated
+    rows each is told to stay. Texts without words are near only to equal ones.
+    """
+    n = max(2, docs.count())
+    width = min(40, max(16, math.ceil(math.log2(n)) + 6))
+    even = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    most = math.ceil(BITS * even + 3.6 * math.sqrt(BITS * even * (1 - even)))
+
+    @F.pandas_udf("fp long, values array<long>, masks array<long>")
+    def sketched(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(g, width) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
+
+    own = docs.select(F.col(id).cast("long").alias("id"), node_of(text).alias("node"), F.col(text).alias("_text"))
+    rows = checkpointed(own.select("id", "node", sketched("_text").alias("s")))
+    nodes = rows.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.any_value("s").alias("s"))
+    nodes = checkpointed(nodes)
+    probes = nodes.where("s.values is not null").select("node", F.col("s.fp").alias("fp"), F.explode(_keys("s.values", "s.masks")).alias("key"))
+    sizes = probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = _pairs(probes.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key"), most)
+    rest = checkpointed(probes.join(sizes.where(F.col("n") > BUCKET).select("key"), "key"))
+    texts = docs.select(node_of(text).alias("node"), F.col(text).alias("_text"))
+    edges = None
+    while True:
+        leaders = rest.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("x"), F.count("*").alias("n"))
+        hot = rest.join(leaders.where(F.col("n") > BUCKET), "key")
+        star = hot.where(F.col("node") != F.col("x.node")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= most)
+        found = found.unionAll(star.select(F.col("x.node").alias("a"), F.col("node").alias("b")))
+        if edges is not None:
+            found = found.unionAll(_pairs(rest.join(leaders.where(F.col("n") <= BUCKET).select("key"), "key"), most))
+        near = checkpointed(_verified(checkpointed(found.distinct()), texts, similarity, shingle))
+        edges = near if edges is None else edges.unionAll(near)
+        left = hot.select("key", "node", "fp", F.col("x.node").alias("a")).where("node <> a")
+        left = left.join(near.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").select("key", "node", "fp")
+        rest = checkpointed(left)
+        if rest.isEmpty():
+            break
+        found = rest.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    comp = components(edges)
+    classes = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
+    stays = classes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("_k"))
+    classes = classes.join(stays, "component").select("node", "_k")
+    return rows.select("id", "node").join(classes, "node").select("id", "node", ((F.col("_k.node") == F.col("node")) & (F.col("_k.least") == F.coalesce("id", F.lit(NO_ID)))).alias("keeper"))
+
+
+#: Stands for a null id: above all others.
+NO_ID = (1 << 63) - 1
+
+
+def node_of(text: str) -> Column:
+    """A number for a text (null: empty): 64 bits of a hash of its SHA-256."""
+    return F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough. Only texts that are in a pair are sent on, one for each node."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bodies = joined(texts, asked, ["node"], "left_semi").groupBy("node").agg(F.any_value(F.encode("_text", "utf-8")).alias("body"))
+    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("right")), "b")
+
+    @F.pandas_udf("boolean")
+    def near(left: pd.Series, right: pd.Series) -> pd.Series:
+        known: dict[bytes, np.ndarray] = {}
+
+        def grams(body):
+            if (g := known.get(body)) is None:
+                g = known[body] = shingles(bytes(body).decode("utf-8", "surrogatepass"), shingle)
+            return g
+
+        out = []
+        for a, b in zip(left, right, strict=True):
+            a, b = grams(a), grams(b)
+            met = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(met >= similarity * (len(a) + len(b) - met) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    return both.where(near("left", "right")).select("a", "b")
+
+
+def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies, as ``same_texts`` tells, in whole and with all columns."""
+    told = checkpointed(same_texts(docs, similarity, shingle, id, text))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))).withColumn("__node", node_of(text))
+    key = [F.coalesce("id", F.lit(NO_ID)).alias("__id"), F.col("node").alias("__node")]
+    kept = joined(keyed, told.where("not keeper").select(*key).distinct(), ["__id", "__node"], "left_anti")
+    # a row that stands there several times stays once
+    again = checkpointed(told.where("keeper").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if not again.isEmpty():
+        once = joined(kept, again, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
+        kept = joined(kept, again, ["__id", "__node"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
