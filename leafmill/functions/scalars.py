@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Python's str.strip() removes, for Java's regular expressions.
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -77,7 +78,7 @@ def text_level(c: Column) -> Column:
     return F.when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(6)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x or ""))
 
@@ -115,7 +116,7 @@ def format_timestamp(c: Column) -> Column:
     return F.coalesce(F.when(whole, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def float_text(s: pd.Series) -> pd.Series:
     """A number as Python writes it, integral ones without a point; null is empty."""
 

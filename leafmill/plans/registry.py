@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafmill.plans import html, lines, sheets  # noqa: F401  each adds its queries
+from leafmill.plans import html, lines, packages, sheets  # noqa: F401  each adds its queries
 
 QUERIES, ORACLES = html.QUERIES, html.ORACLES
