@@ -11,14 +11,17 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import ending
+
 #: Pre-tokens kept in a worker; then it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Pre-tokens are encoded so many at a time, with a character between them that no piece has: it comes out as the unknown piece.
 JOIN, APART = 128, "\u3000"
 
@@ -127,10 +130,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
     """``docs`` with ``ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (the bytes again); a null text is empty."""
 
     @F.pandas_udf("ids binary, decoded binary")
-    def code(s: pd.Series) -> pd.DataFrame:
+    def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(path, pattern)
-        ids = [e.encode(t) for t in s]
-        return pd.DataFrame({"ids": ids, "decoded": [e.decode(x) for x in ids]})
+
+        def some(s):
+            ids = [e.encode(t) for t in s]
+            return pd.DataFrame({"ids": ids, "decoded": [e.decode(x) for x in ids]})
+
+        return ending(map(some, texts), e.cache.clear)
 
     return docs.withColumn("_c", code(F.col(text))).select(*docs.columns, "_c.ids", "_c.decoded")
 
@@ -139,11 +146,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, number of ids, digests of ids and of the decoded bytes; made in the workers, so that ids don't travel."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def code(s: pd.Series) -> pd.DataFrame:
-        e, rows = encoder(path, pattern), []
-        for t in s:
+    def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e = encoder(path, pattern)
+
+        def one(t):
             ids = e.encode(t)
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()
+
+        return ending((pd.DataFrame([one(t) for t in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for s in texts), e.cache.clear)
 
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.*")

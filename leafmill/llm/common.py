@@ -6,6 +6,7 @@ import math
 import os
 import sys
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to Python at a time, unless the session says: whole texts may be long.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as Spark reads it; the path may be in any store that Spark knows."""
     ship(spark)
@@ -22,6 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package where the session was started without it on its path."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env, have = spark.sparkContext.environment, os.environ.get("PYTHONPATH", "")
     if ROOT not in env.get("PYTHONPATH", have).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", have), ROOT) if x)
@@ -53,6 +60,16 @@ def trim() -> None:
         return
 
 
+def ending(results: Iterator, *forget: Callable[[], None]) -> Iterator:
+    """The results of a task; at its end a worker, which goes on to other tasks, forgets what it has kept for this one."""
+    try:
+        yield from results
+    finally:
+        for f in forget:
+            f()
+        trim()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

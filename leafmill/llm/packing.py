@@ -11,15 +11,16 @@ from __future__ import annotations
 import functools
 import zlib
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, ending
 
-CACHE, APART = 600_000, "<|startoftext|>"
+CACHE, APART = 200_000, "<|startoftext|>"
 
 
 class RoomTree:
@@ -130,12 +131,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
     """Per piece of at most ``capacity`` tokens: id, piece, start, length, ids_crc32. A document ends with the id ``end``; null texts are empty."""
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
-    def cut(s: pd.Series) -> pd.Series:
-        e, out, last = word_encoder(path), [], end.to_bytes(4, "little")
-        for t in s:
-            ids = e.encode(t) + last
-            out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
-        return pd.Series(out)
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e, last = word_encoder(path), end.to_bytes(4, "little")
+
+        def some(s):
+            out = []
+            for t in s:
+                ids = e.encode(t) + last
+                out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
+            return pd.Series(out)
+
+        return ending(map(some, texts), e.cache.clear)
 
     return docs.select(F.col(id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, ending
 
 BUCKETS, DIM, NONZERO = 4096, 48, 4
 SHAPES, SHAPE_DIM = 256, 32
@@ -25,7 +26,7 @@ SHAPES, SHAPE_DIM = 256, 32
 TRAIN_ROWS = 20_000
 FEATURES = 2 * DIM + SHAPE_DIM + 5
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE = 400_000
+CACHE = 200_000
 
 
 def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -48,6 +49,10 @@ def _shape(token: str) -> int:
     return zlib.crc32(f"{kinds}{case}{min(len(token).bit_length(), 5)}".encode("utf-8", "replace")) % SHAPES
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def _learn(token: str) -> int:
     if len(_known) > CACHE:
         _known.clear()
@@ -68,17 +73,22 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
     return _tables["words"], _tables["shapes"]
 
 
-def add_contexts(table: np.ndarray, words: np.ndarray, window: int = 2) -> None:
-    """Adds to each word's row the random vectors of the words within ``window`` of it; BUCKETS stands between documents."""
-    index = _index()[0]
-    where = np.array([[*np.flatnonzero(v).tolist(), *[0] * NONZERO][:NONZERO] for v in index], np.int64)
-    sign = np.take_along_axis(index, where, 1)
-    size = table.size
-    flat = table.reshape(-1)
+def add_contexts(pairs: np.ndarray, words: np.ndarray, window: int = 2) -> None:
+    """Counts in ``pairs`` (a row and a column for each bucket, flat) which words stand within ``window`` before which; BUCKETS stands between documents."""
     for off in range(1, window + 1):
-        for a, b in ((words[:-off], words[off:]), (words[off:], words[:-off])):
-            for k in range(NONZERO):
-                flat += np.bincount(a * DIM + where[b, k], sign[b, k], minlength=size)
+        np.add.at(pairs, words[:-off] * (BUCKETS + 1) + words[off:], 1)
+
+
+def context_vectors(pairs: np.ndarray) -> np.ndarray:
+    """The sum of the random vectors of all neighbours of each word, on either side."""
+    square = pairs.reshape(BUCKETS + 1, BUCKETS + 1)
+    index = _index()[0].astype(np.float64)
+    step, out = 512, np.zeros((BUCKETS + 1, DIM))
+    for at in range(0, BUCKETS + 1, step):  # a few rows at a time as floating numbers
+        part = square[at : at + step].astype(np.float64)
+        out[at : at + step] += part @ index
+        out += part.T @ index[at : at + step]
+    return out
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -86,24 +96,24 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     slices = 32
 
     def count(frames):
-        table, held, n = np.zeros((BUCKETS + 1, DIM)), [], 0
+        pairs, held, n = np.zeros((BUCKETS + 1) ** 2, np.int32), [], 0
         for pdf in frames:
             for t in pdf[text]:
                 held += [numbers(t) // SHAPES, np.array([BUCKETS] * 2)]
                 n += len(held[-2])
-                if n > 500_000:
-                    add_contexts(table, np.concatenate(held))
+                if n > 200_000:
+                    add_contexts(pairs, np.concatenate(held))
                     held, n = [], 0
         if held:
-            add_contexts(table, np.concatenate(held))
-        parts = np.split(table[:BUCKETS].astype("<i8"), slices)
+            add_contexts(pairs, np.concatenate(held))
+        parts = np.split(np.rint(context_vectors(pairs))[:BUCKETS].astype("<i8"), slices)
         yield pd.DataFrame({"part": np.arange(slices), "body": [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in pdf["body"])
         return pd.DataFrame({"part": [pdf["part"].iat[0]], "body": [total.astype("<i8").tobytes()]})
 
-    rows = docs.select(text).mapInPandas(count, "part int, body binary").groupBy("part").applyInPandas(add, "part int, body binary").collect()
+    rows = docs.select(text).mapInPandas(lambda frames: ending(count(frames), forget), "part int, body binary").groupBy("part").applyInPandas(add, "part int, body binary").collect()
     table = np.zeros((BUCKETS, DIM))
     for r in rows:
         table.reshape(slices, -1, DIM)[r["part"]] = np.frombuffer(r["body"], "<i8").reshape(-1, DIM)
@@ -203,8 +213,8 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     table = word_vectors(docs, text)
 
     @F.pandas_udf("array<float>")
-    def pool(s: pd.Series) -> pd.Series:
-        return pd.Series([pooled(t, table) for t in s])
+    def pool(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return ending((pd.Series([pooled(t, table) for t in s]) for s in texts), forget)
 
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
     features = checkpointed(docs.select(F.col(id).alias("_id"), held.alias("held_out"), pool(text).alias("_x"), *carry))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components, joined
+from leafmill.llm.common import checkpointed, components, ending, joined
 
 BITS = 64
 #: Hashes whose bits are counted at a time.
@@ -211,10 +212,14 @@ def hex16(fp: Column) -> Column:
 #: Parts of a long fingerprint, and bits of each part that are tried both ways.
 PARTS, TRIED = 6, 4
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-CACHE = 400_000
+CACHE = 200_000
 _words: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def _learn(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
@@ -293,8 +298,11 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
     most = math.ceil(BITS * even + 3.6 * math.sqrt(BITS * even * (1 - even)))
 
     @F.pandas_udf("fp long, values array<long>, masks array<long>")
-    def sketched(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(g, width) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
+    def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def some(s):
+            return pd.DataFrame([sketch(g, width) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
+
+        return ending(map(some, texts), forget)
 
     own = docs.select(F.col(id).cast("long").alias("id"), node_of(text).alias("node"), F.col(text).alias("_text"))
     rows = checkpointed(own.select("id", "node", sketched("_text").alias("s")))

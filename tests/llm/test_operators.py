@@ -330,9 +330,10 @@ def test_quality_edge_cases(spark, docs, rows):
 
 
 def test_quality_counts_contexts():
-    table = np.zeros((quality.BUCKETS + 1, quality.DIM))
+    pairs = np.zeros((quality.BUCKETS + 1) ** 2, np.int32)
     seq = np.array([1, 2, 3, quality.BUCKETS, quality.BUCKETS, 1, 1])
-    quality.add_contexts(table, seq)
+    quality.add_contexts(pairs, seq)
+    table = quality.context_vectors(pairs)
     index = quality._index()[0]
     for w in range(4):
         near = [j for i, x in enumerate(seq) if x == w for j in range(max(0, i - 2), min(len(seq), i + 3)) if j != i]
