@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ending
+from leafmill.llm.common import ending, keep_oldest
 
 #: Pre-tokens kept in a worker; then it starts anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Pre-tokens are encoded so many at a time, with a character between them that no piece has: it comes out as the unknown piece.
 JOIN, APART = 128, "\u3000"
 
@@ -84,7 +84,7 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
+            keep_oldest(self.cache, CACHE // 4)
         hard, mapped = [], []
         for w in words:
             data = w.encode("utf-8", "surrogatepass")
@@ -137,7 +137,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
             ids = [e.encode(t) for t in s]
             return pd.DataFrame({"ids": ids, "decoded": [e.decode(x) for x in ids]})
 
-        return ending(map(some, texts), e.cache.clear)
+        return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 4))
 
     return docs.withColumn("_c", code(F.col(text))).select(*docs.columns, "_c.ids", "_c.decoded")
 
@@ -153,6 +153,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = e.encode(t)
             return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()
 
-        return ending((pd.DataFrame([one(t) for t in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for s in texts), e.cache.clear)
+        return ending((pd.DataFrame([one(t) for t in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"]) for s in texts), lambda: keep_oldest(e.cache, CACHE // 4))
 
     return docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import sys
@@ -60,6 +61,12 @@ def trim() -> None:
         return
 
 
+def keep_oldest(cache: dict, n: int) -> None:
+    """Drops all but the first ``n`` entries: of words that are learnt as they come, the first are the frequent ones."""
+    for k in list(itertools.islice(cache, n, None)):
+        del cache[k]
+
+
 def ending(results: Iterator, *forget: Callable[[], None]) -> Iterator:
     """The results of a task; at its end a worker, which goes on to other tasks, forgets what it has kept for this one."""
     try:

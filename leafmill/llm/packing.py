@@ -9,6 +9,8 @@ finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -18,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, ending
+from leafmill.llm.common import checkpointed, ending, keep_oldest
 
-CACHE, APART = 200_000, "<|startoftext|>"
+CACHE, APART = 400_000, "<|startoftext|>"
 
 
 class RoomTree:
@@ -79,8 +81,18 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[int, list
     return plan
 
 
+#: How the vocabulary's file splits lower-cased text (a fixed value), and the same for the characters below.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Other characters than Latin letters, ASCII digits, marks and plain white space, or ones whose lower case depends on what follows.
+ODD = re.compile("[^\\n\\t\\r -~¡-¬®-±´-¸º»¿-įı-ɏ]")
+
+
 class WordEncoder:
-    """A tokenizer whose tokens never span white space, with the ids of space-separated strings kept."""
+    """A tokenizer whose tokens never span white space, with the ids of strings that it splits text into kept.
+
+    Texts of common Latin characters are split here, as the tokenizer would; others at spaces, and their words by the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,10 +101,13 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.joined = Tokenizer.from_file(path)  # a special token stands between words that are encoded together
         self.apart = self.joined.token_to_id(APART)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.splits = [x.get("pattern", {}).get("Regex") for x in (file.get("pre_tokenizer") or {}).get("pretokenizers", [])][:1] == [PIECES]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
+            keep_oldest(self.cache, CACHE // 4)
         for w in [w for w in words if "<|" in w]:
             self.cache[w] = self._alone(w)
         words = [w for w in words if "<|" not in w]
@@ -109,7 +124,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        words, cache = (text or "").replace("\n", " ").split(" "), self.cache
+        text, cache = text or "", self.cache
+        words = SPLIT.findall(text.lower()) if self.splits and not ODD.search(text) else text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
@@ -141,7 +157,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
                 out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
             return pd.Series(out)
 
-        return ending(map(some, texts), e.cache.clear)
+        return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 4))
 
     return docs.select(F.col(id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
 

@@ -364,3 +364,21 @@ def test_page_rows(spark):
     r = language.page_rows(spark.createDataFrame([(1, "https://u@M.a.example.FR:80/x?y#z", page), (2, None, None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert (r[0]["declared"], r[0]["host"], r[0]["suffix"], r[0]["text"].split()) == ("fr", "m.a.example.fr", "fr", ["Bon", "jour"])
     assert (r[1]["declared"], r[1]["host"], r[1]["text"]) == ("", "", "")
+
+
+def test_word_encoder_as_the_tokenizer():
+    """Texts that are split here, and those that aren't."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(6)
+    e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert e.splits
+    some = "aebzÉßñøŒ'sllre''dtm019²½_-.,!?<|>|§ªº©«»\xa0\xad\x1cΣςİıſſKǅ日é̂ \t\n\r  "
+    plain = "".join(c for c in some if not packing.ODD.search(c))
+    assert len(plain) > 30
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for pool in (some, plain) for _ in range(600)] + ["<|endoftext|> x<|startoftext|>", "it's I'LL we'Re 'sx", ""]
+    texts += ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x250, 64)] + [chr(c) + "a" + chr(c) for c in range(0x250)]
+    for x in texts:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
