@@ -22,7 +22,7 @@ from leafmill.llm.common import checkpointed, ending
 
 BUCKETS, DIM, NONZERO = 4096, 48, 4
 SHAPES, SHAPE_DIM = 256, 32
-#: Labelled rows that the network is trained on at most: those with the least hash of their id.
+#: Labelled rows that the network is trained on: all, or about so many by a hash of the id where there are more.
 TRAIN_ROWS = 20_000
 FEATURES = 2 * DIM + SHAPE_DIM + 5
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -206,7 +206,7 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, score, predicted (and ``carry``) of each row of ``docs``, as ``labels`` (id, quality) marks quality.
 
-    Labels are learnt only from rows whose CRC-32 of the id as text isn't divisible by 5, at most ``train_rows`` of them; a null
+    Labels are learnt only from rows whose CRC-32 of the id as text isn't divisible by 5, all or about ``train_rows`` of them by a hash; a null
     id is held out. The word vectors come from all texts. Null and empty texts have features of zero and get the score of
     these. Labels that are null or repeated with two values take no part. Rows come out as they went in.
     """
@@ -219,7 +219,11 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
     features = checkpointed(docs.select(F.col(id).alias("_id"), held.alias("held_out"), pool(text).alias("_x"), *carry))
     sure = labels.where("quality is not null").groupBy(F.col(id).alias("_id")).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = b")
-    sample = features.where("not held_out").select("_id", "_x").join(sure, "_id").orderBy(F.xxhash64("_id"), "_id").limit(train_rows).select("_x", "a").toPandas()
+    known = features.where("not held_out").select("_id", "_x").join(sure, "_id").withColumn("_h", F.xxhash64("_id", F.lit(7)))
+    rows = known.count()
+    if rows > train_rows:  # a share by hash, so that no task sends more than its own part of the bound
+        known = known.where(F.pmod("_h", F.lit(1 << 20)) < int((1 << 20) * train_rows / rows))
+    sample = known.limit(2 * train_rows).select("_h", "_x", "a").toPandas().sort_values("_h", kind="stable")
     x = np.array(sample["_x"].tolist(), np.float64).reshape(len(sample), FEATURES)
     net = train(x, (sample["a"].to_numpy() == 1).astype(float))
 
