@@ -140,16 +140,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, radius: int = 9, id:
 
     def compare(frames):
         """Whole groups of sorted rows; a group may go on in the next batch."""
-        held, out_rows = None, []
+        held = None
         for pdf in frames:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             key = pdf[cells].to_numpy()
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             held = pdf.iloc[new[-1] :]
-            yield from groups(pdf.iloc[: new[-1]], new[:-1], key)
+            if new[-1]:
+                yield from groups(pdf.iloc[: new[-1]], new[:-1], key)
         if held is not None:
             yield from groups(held, np.array([0]), held[cells].to_numpy())
-        del out_rows
 
     def groups(pdf, starts, keys):
         counts: dict[int, int] = {}

@@ -225,6 +225,7 @@ def test_top_k(spark):
 @pytest.mark.parametrize("part", [512, 7])
 def test_embeddings(spark, part, monkeypatch):
     monkeypatch.setattr(embeddedup, "PART", part)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000" if part > 10 else "3")  # groups that go on over batches
     rows, df = vectors(spark)
 
     def unit(v):
@@ -243,6 +244,7 @@ def test_embeddings(spark, part, monkeypatch):
         assert got[i]["n_links"] <= links[i] and got[i]["component_id"] >= comp[i] and got[i]["kept"] == (i == got[i]["component_id"])
     assert sum(got[i]["component_id"] == comp[i] for i in comp) >= 0.97 * len(comp)
     assert embeddedup.near_duplicates(df.limit(0)).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_embedding_recall_on_the_table(spark):
