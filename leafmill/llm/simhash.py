@@ -211,6 +211,8 @@ def hex16(fp: Column) -> Column:
 
 #: Parts of a long fingerprint, and bits of each part that are tried both ways.
 PARTS, TRIED = 6, 4
+#: Rounds over hot keys, the last of which compares all texts that are not linked yet, and rows of a key that one group compares at most.
+ROUNDS, PART = 3, 512
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 CACHE = 200_000
 _words: dict[bytes, int] = {}
@@ -283,13 +285,77 @@ def _pairs(rows: DataFrame, most: int) -> DataFrame:
     return left.select(F.col("x.node").alias("a"), F.explode("m.node").alias("b"))
 
 
+def _leaders(rest: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """(key, x) of each key: the text with the most links so far, the least of them. Results don't depend on the choice, only their cost."""
+    if edges is None:
+        return rest.groupBy("key").agg(F.min(F.struct(F.lit(0).alias("links"), "node", "fp")).alias("x"))
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg((-F.count("*")).alias("links"))
+    ranked = rest.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return ranked.groupBy("key").agg(F.min(F.struct("links", "node", "fp", "comp")).alias("x"))
+
+
+def _stars(rest: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
+    """Pairs of each key's leader and the rows (key, node, fp, comp) of other groups within ``most`` bits."""
+    comp = F.col("x.comp") if "comp" in leaders.schema["x"].dataType.names else F.col("x.node")
+    star = rest.join(leaders, "key").where(F.col("comp") != comp).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= most)
+    return star.select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
+
+
+def _unsettled(rest: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (key, node, fp, comp) of the keys whose texts aren't all linked."""
+    rest = checkpointed(rest.join(components(edges).withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "fp", F.coalesce("comp", "node").alias("comp")))
+    several = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return checkpointed(rest.join(several.select("key"), "key"))
+
+
+def _across(rest: DataFrame, most: int) -> DataFrame:
+    """All pairs of a key's rows (key, node, fp, comp) of different groups within ``most`` bits; keys are cut, and their parts meet two by two."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int")
+    met = rest.join(sizes, "key").withColumn("p", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = ["key", "p0", "p1"]
+    met = met.select("key", F.least("p", "o").alias("p0"), F.greatest("p", "o").alias("p1"), "p", "node", "fp", "comp")
+    met = met.repartition(*cells).sortWithinPartitions(*cells, "p", "node")
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        node, comp, part = (g[c].to_numpy(np.int64) for c in ("node", "comp", "p"))
+        fp = g["fp"].to_numpy(np.int64).view(np.uint64)
+        cut = int((part == part[0]).sum())
+        if g["p0"].iat[0] == g["p1"].iat[0]:
+            left = right = slice(None)
+        elif cut == len(g):  # all of one part, which meets in its own cell
+            return pd.DataFrame({"a": node[:0], "b": node[:0]})
+        else:
+            left, right = slice(cut), slice(cut, None)
+        near = (np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= most) & (comp[left][:, None] != comp[right][None, :])
+        i, j = np.nonzero(near)
+        a, b = node[left][i], node[right][j]
+        keep = a < b if left == right else slice(None)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    def compare(frames):
+        """Whole groups of sorted rows; a group may go on in the next batch."""
+        held = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[cells].to_numpy()
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            for s, e in zip(new, new[1:]):  # noqa: B905
+                yield pairs(pdf.iloc[s:e])
+            held = pdf.iloc[new[-1] :]
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return met.mapInPandas(compare, "a long, b long")
+
+
 def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, node, keeper) of each row: ``node`` stands for its text, ``keeper`` tells the row that stays of each group of near copies.
 
     Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed exactly for each
     candidate. Candidates share a part of a long fingerprint but for the likeliest flips, and differ in as few of 64 bits as such
-    texts do (3.6 deviations). Keys of more than BUCKET texts are compared with their least text, and those that aren't near it
-    again among themselves, until few are left. The row with the smallest id stays (nulls last, then the smallest node); of repeated
+    texts do (3.6 deviations). All candidates of a key are compared unless they are linked already: in keys of more than BUCKET texts first
+    with a few leaders, then those of different groups block by block. The row with the smallest id stays (nulls last, then the smallest node); of repeated
     rows each is told to stay. Texts without words are near only to equal ones.
     """
     n = max(2, docs.count())
@@ -310,25 +376,26 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
     nodes = checkpointed(nodes)
     probes = nodes.where("s.values is not null").select("node", F.col("s.fp").alias("fp"), F.explode(_keys("s.values", "s.masks")).alias("key"))
     sizes = probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = _pairs(probes.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key"), most)
-    rest = checkpointed(probes.join(sizes.where(F.col("n") > BUCKET).select("key"), "key"))
+    met = _pairs(probes.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key"), most)
+    rest = checkpointed(probes.join(sizes.where(F.col("n") > BUCKET).select("key"), "key").select("key", "node", "fp"))
     texts = docs.select(node_of(text).alias("node"), F.col(text).alias("_text"))
-    edges = None
-    while True:
-        leaders = rest.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("x"), F.count("*").alias("n"))
-        hot = rest.join(leaders.where(F.col("n") > BUCKET), "key")
-        star = hot.where(F.col("node") != F.col("x.node")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= most)
-        found = found.unionAll(star.select(F.col("x.node").alias("a"), F.col("node").alias("b")))
-        if edges is not None:
-            found = found.unionAll(_pairs(rest.join(leaders.where(F.col("n") <= BUCKET).select("key"), "key"), most))
-        near = checkpointed(_verified(checkpointed(found.distinct()), texts, similarity, shingle))
-        edges = near if edges is None else edges.unionAll(near)
-        left = hot.select("key", "node", "fp", F.col("x.node").alias("a")).where("node <> a")
-        left = left.join(near.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").select("key", "node", "fp")
-        rest = checkpointed(left)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_verified(checkpointed(pairs.distinct()), texts, similarity, shingle))
+
+    edges = verified(met.unionAll(_stars(rest.withColumn("comp", F.col("node")), _leaders(rest, None), most)))
+    leaders = _leaders(rest, None)
+    for turn in range(ROUNDS):
+        # a leader's own pairs are settled, and so are keys whose texts are all linked
+        rest = _unsettled(rest.join(leaders.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"), edges)
         if rest.isEmpty():
             break
-        found = rest.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        leaders = checkpointed(_leaders(rest, edges)) if turn < ROUNDS - 1 else None
+        near = verified(_stars(rest, leaders, most) if leaders else _across(rest, most))
+        edges = edges.unionAll(near)
+        rest = rest.select("key", "node", "fp")
+        if leaders is None:
+            break
     comp = components(edges)
     classes = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     stays = classes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("_k"))

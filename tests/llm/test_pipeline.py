@@ -72,6 +72,33 @@ def test_without_copies(spark, near_rows):
     assert simhash.without_copies(df.limit(0)).count() == 0
 
 
+def many_of_one(n):
+    """An original and copies that are near it but not near each other."""
+    rng = random.Random(3)
+    original = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(original)]
+    for k in range(n):
+        c = list(original)
+        for part in range(3):
+            c[part * 66 + rng.randrange(5, 60)] = f"x{k}y{part}"
+        texts.append(" ".join(c))
+    return texts
+
+
+def test_copies_of_one_original_are_one_group(spark):
+    texts = many_of_one(300)
+    assert 0.8 < jaccard(texts[0], texts[1]) < 0.9 and jaccard(texts[1], texts[2]) < 0.8
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert [r["doc_id"] for r in simhash.without_copies(df).collect()] == [0]
+
+
+def test_all_pairs_of_a_hot_key(spark):
+    rows = [(k, n, n % 7, n % 11) for k in range(3) for n in range((40, 700, 1300)[k])]
+    df = spark.createDataFrame(rows, "key long, node long, fp long, comp long").repartition(3)
+    got = {(r["a"], r["b"]) for r in simhash._across(df, 1).collect()}
+    assert got == {(a, b) for b in range(1300) for a in range(b) if (a % 7 ^ b % 7).bit_count() <= 1 and a % 11 != b % 11}
+
+
 def test_sketches_find_near_texts():
     rng = np.random.default_rng(1)
     words = [f"w{n}" for n in range(5000)]
