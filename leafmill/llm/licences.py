@@ -1,8 +1,8 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
-An index over the words of licence templates tells for each word where it stands in which template. For a text, its highest-IDF
-licence words are looked up, and the postings are intersected by relative position: each posting votes for the place at which its
-template would begin. The best place counts if the template's mandatory phrases stand at it. A row needs no other row: nothing is shuffled.
+An index over the words of licence templates tells for each word where it stands in which template. For each template, the highest-IDF
+word of its mandatory phrases is looked up in the text: each place of it votes for the place at which the template would begin, and
+a place without that word can't be verified, so none is missed. The best place counts if the template's mandatory phrases stand at it. A row needs no other row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ TEMPLATES = {
     "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted",)),
     "proprietary": ("copyright all rights reserved", ("all rights reserved",)),
 }
-#: So many of the rarest licence words of a text are looked up.
-RARE = 8
 
 
 def idf() -> dict[str, float]:
@@ -50,6 +48,12 @@ def mandatory(label: str) -> list[tuple[str, int]]:
     return sorted(out, key=lambda x: x[1])
 
 
+def rarest(label: str) -> tuple[str, int]:
+    """The highest-IDF word of the mandatory phrases with its place in the template."""
+    weight = idf()
+    return max(mandatory(label), key=lambda x: (weight[x[0]], -x[1]))
+
+
 def phrase(words: str) -> str:
     """A regular expression for the places where the words stand one after the other."""
     return f"(?<!{WORD})" + f"{APART}+".join(words.split()) + f"(?!{WORD})"
@@ -63,13 +67,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     Rows come out as they went in.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    weight = idf()
     # a text without any of these phrases has no labels, and its words aren't listed
     needed = sorted({p for _, phrases in TEMPLATES.values() for p in phrases[:1]} | set(BASE))
     hint = body.rlike("(?i)" + "|".join(phrase(p) for p in needed))
     words = F.split(F.translate(F.regexp_replace(F.when(hint, body).otherwise(""), f"{APART}+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), " ")
     words = F.filter(words, lambda w: w != "")
-    licence = F.lit(sorted(weight))
+    # rare words vote, and base phrases begin with the others
+    licence = F.lit(sorted({rarest(label)[0] for label in TEMPLATES} | {p.split()[0] for p in BASE}))
     listed = F.filter(F.transform(F.col("_w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(licence, x["w"]))
 
     out = docs.withColumn("_n", F.regexp_count(body, F.lit(f"{WORD}+")).cast("long")).withColumn("_w", words).withColumn("_o", listed)
@@ -78,8 +82,6 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         p = p.split()
         base[f"_b{k}"] = _places([(w, j) for j, w in enumerate(p)])
     out = out.withColumns(base)
-    ranked = F.slice(F.array_sort(F.transform(F.array_distinct(F.transform("_o", lambda x: x["w"])), lambda w: F.struct((-_lookup(weight, w)).alias("a"), w.alias("w")))), 1, RARE)
-    out = out.withColumn("_r", F.transform(ranked, lambda x: x["w"])).withColumn("_v", F.filter(F.col("_o"), lambda x: F.array_contains(F.col("_r"), x["w"])))
     found = {}
     for k, label in enumerate(TEMPLATES):
         found[f"_t{k}"] = _best(label)
@@ -106,10 +108,6 @@ def _places(words: list[tuple[str, int]]) -> Column:
     return F.transform(F.filter(F.col("_o"), lambda x: (x["w"] == words[0][0]) & _stands(x["i"], words)), lambda x: x["i"])
 
 
-def _lookup(weight: dict[str, float], word: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for w in sorted(weight) for x in (w, weight[w]))), word)
-
-
 def _stands(start: Column, words: list[tuple[str, int]]) -> Column:
     """Whether each word stands in its place after ``start``."""
     out = F.lit(True)
@@ -119,14 +117,9 @@ def _stands(start: Column, words: list[tuple[str, int]]) -> Column:
 
 
 def _best(label: str) -> Column:
-    """The share of the template's words in their places, at the best verified place that rare words vote for."""
-    words = TEMPLATES[label][0].split()
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(words):
-        places.setdefault(w, []).append(j)
-    postings = F.create_map(*(x for w in sorted(places) for x in (F.lit(w), F.lit(places[w]))))
-    known = F.lit(sorted(places))
-    votes = F.flatten(F.transform(F.filter(F.col("_v"), lambda x: F.array_contains(known, x["w"])), lambda x: F.transform(F.element_at(postings, x["w"]), lambda j: x["i"] - j)))
-    verified = F.filter(F.array_distinct(votes), lambda at: _stands(at, mandatory(label)))
+    """The share of the template's words in their places, at the best verified place that its rarest mandatory word votes for."""
+    words, (rare, j) = TEMPLATES[label][0].split(), rarest(label)
+    votes = F.transform(F.filter(F.col("_o"), lambda x: x["w"] == rare), lambda x: x["i"] - j)
+    verified = F.filter(votes, lambda at: _stands(at, mandatory(label)))
     share = F.transform(verified, lambda at: sum((F.coalesce(F.get(F.col("_w"), F.when(at + j >= 0, at + j).cast("int")) == w, F.lit(False)).cast("int") for j, w in enumerate(words)), F.lit(0)) / float(len(words)))
     return F.coalesce(F.array_max(share), F.lit(0.0))

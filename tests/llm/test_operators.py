@@ -127,6 +127,17 @@ def brute_licences(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(names)), round(best, 6)
 
 
+def test_licences_in_long_texts(spark):
+    """All licence words but one template's are in the text before it: none may be crowded out."""
+    texts = ["You may copy it in any form; all of them are free for use and a person can share. Released under the MIT License."]
+    for template, _ in licences.TEMPLATES.values():
+        others = sorted(set(" ".join(t for t, _ in licences.TEMPLATES.values()).split()) - set(template.split()))
+        texts.append(" ".join(others * 3) + ". " + template)
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == [brute_licences(t) for t in texts]
+    assert "mit" in got[0]["labels"].split(",")
+
+
 def test_licences(spark, docs, rows):
     extra = ["Licensed under CC BY-NC 4.0.", "X\nReleased under the MIT License.", "all rights reserved, ALL Rights\nReserved! cc BY", "général public license", "GNU General-Public license, version 3", "cc byé éall rights reserved", "version 2.0 apache license"]
     df = docs.select("doc_id", "text", "n", "score").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"), allowMissingColumns=True)
