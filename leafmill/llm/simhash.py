@@ -209,8 +209,8 @@ def hex16(fp: Column) -> Column:
 
 # --- documents of a given similarity
 
-#: Parts of a long fingerprint, and bits of each part that are tried both ways.
-PARTS, TRIED = 6, 4
+#: Parts of a long fingerprint at least, bits of each part that are tried both ways, and the share of the least similar pairs that meet.
+PARTS, TRIED, RECALL = 6, 4, 0.98
 #: Rounds over hot keys, the last of which compares all texts that are not linked yet, and rows of a key that one group compares at most.
 ROUNDS, PART = 3, 512
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
@@ -245,19 +245,30 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def sketch(grams: np.ndarray, width: int) -> tuple[int, list[int], list[int]]:
+def parts_for(width: int, similarity: float) -> int:
+    """Parts of ``width`` bits by which RECALL of the pairs of this similarity meet, if votes are normally distributed."""
+    rng, rho, n = np.random.default_rng(42), 2 * similarity / (1 + similarity), 20_000
+    a = rng.normal(size=(n, width))
+    b = rho * a + math.sqrt(max(0.0, 1 - rho * rho)) * rng.normal(size=(n, width))
+    tried = [np.abs(x).argsort(axis=1).argsort(axis=1) < TRIED for x in (a, b)]
+    met = (((a > 0) == (b > 0)) | tried[0] | tried[1]).all(axis=1).mean()
+    met = min(max(met, 1 / n), 1 - 1 / n)
+    return max(PARTS, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+
+def sketch(grams: np.ndarray, width: int, parts: int = PARTS) -> tuple[int, list[int], list[int]]:
     """Of a text's shingles: 64 bits to filter by, each part's value, and TRIED masks for each part.
 
     A bit whose votes are nearly even is the likeliest to differ in a near copy: those of the smallest margins are masked, so that
     a part's ball takes in the likely flips first, and each text's thresholds are its own.
     """
-    words = -(-PARTS * width // BITS)
+    words = -(-parts * width // BITS)
     h = np.stack([(x := grams * np.uint64(MIX[i % len(MIX)] + 2 * i)) ^ (x >> np.uint64(31)) for i in range(words)], axis=1)
     margin = 2 * bit_counts(h) - len(grams)
     values, masks = [], []
-    for p in range(PARTS):
+    for p in range(parts):
         m = margin[p * width : (p + 1) * width]
-        values.append(p << 56 | sum(1 << int(b) for b in np.flatnonzero(m > 0)))
+        values.append(p << 40 | sum(1 << int(b) for b in np.flatnonzero(m > 0)))
         masks += [1 << int(b) for b in np.argsort(np.abs(m), kind="stable")[:TRIED]]
     first = sum(1 << int(b) for b in np.flatnonzero(margin[:BITS] > 0))
     return first - (first >> 63 << 64), values, masks
@@ -267,10 +278,10 @@ def _flipped(values: Column, mask: Column) -> Column:
     return F.transform(values, lambda x: x.bitwiseXOR(mask))
 
 
-def _keys(values: str, masks: str) -> Column:
+def _keys(values: str, masks: str, count: int) -> Column:
     """All values of all parts with any of their masks on or off."""
     parts = []
-    for p in range(PARTS):
+    for p in range(count):
         a = F.array(F.get(values, F.lit(p)))
         for k in range(TRIED):
             a = F.concat(a, _flipped(a, F.get(masks, F.lit(p * TRIED + k))))
@@ -353,20 +364,22 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
     """(id, node, keeper) of each row: ``node`` stands for its text, ``keeper`` tells the row that stays of each group of near copies.
 
     Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed exactly for each
-    candidate. Candidates share a part of a long fingerprint but for the likeliest flips, and differ in as few of 64 bits as such
+    candidate. Candidates share a part of a long fingerprint but for the likeliest flips (parts grow with the rows, and their number
+    with them, so that a pair is as likely found in a large table), and differ in as few of 64 bits as such
     texts do (3.6 deviations). All candidates of a key are compared unless they are linked already: in keys of more than BUCKET texts first
     with a few leaders, then those of different groups block by block. The row with the smallest id stays (nulls last, then the smallest node); of repeated
     rows each is told to stay. Texts without words are near only to equal ones.
     """
     n = max(2, docs.count())
     width = min(40, max(16, math.ceil(math.log2(n)) + 6))
+    parts = parts_for(width, similarity)
     even = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     most = math.ceil(BITS * even + 3.6 * math.sqrt(BITS * even * (1 - even)))
 
     @F.pandas_udf("fp long, values array<long>, masks array<long>")
     def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def some(s):
-            return pd.DataFrame([sketch(g, width) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
+            return pd.DataFrame([sketch(g, width, parts) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
 
         return ending(map(some, texts), forget)
 
@@ -374,7 +387,7 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
     rows = checkpointed(own.select("id", "node", sketched("_text").alias("s")))
     nodes = rows.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.any_value("s").alias("s"))
     nodes = checkpointed(nodes)
-    probes = nodes.where("s.values is not null").select("node", F.col("s.fp").alias("fp"), F.explode(_keys("s.values", "s.masks")).alias("key"))
+    probes = nodes.where("s.values is not null").select("node", F.col("s.fp").alias("fp"), F.explode(_keys("s.values", "s.masks", parts)).alias("key"))
     sizes = probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = _pairs(probes.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key"), most)
     rest = checkpointed(probes.join(sizes.where(F.col("n") > BUCKET).select("key"), "key").select("key", "node", "fp"))

@@ -123,6 +123,30 @@ def test_sketches_find_near_texts():
     assert jaccard(" ".join(a), " ".join(b)) < 0.85 and found >= 57 and far <= 3
 
 
+@pytest.mark.parametrize("width", [16, 22, 26, 30])
+def test_large_tables_find_as_many(width):
+    rng = np.random.default_rng(4)
+    words = [f"w{n}" for n in range(5000)]
+    parts, found = simhash.parts_for(width, 0.8), 0
+    for _ in range(100):
+        a = list(rng.choice(words, 200))
+        b = list(a)
+        for at in (30, 80, 120, 170):
+            b[at] = "other"
+        keys = []
+        for t in (a, b):
+            _, values, masks = simhash.sketch(simhash.shingles(" ".join(t)), width, parts)
+            out = set()
+            for p, v in enumerate(values):
+                own = {v}
+                for m in masks[p * simhash.TRIED : (p + 1) * simhash.TRIED]:
+                    own |= {x ^ m for x in own}
+                out |= own
+            keys.append(out)
+        found += bool(keys[0] & keys[1])
+    assert 0.8 <= jaccard(" ".join(a), " ".join(b)) < 0.83 and found >= 96
+
+
 def test_cut_texts(spark):
     text = "é" * 20 + "the passage that is here twice, with ünïcödé letters in it and more words than fifty bytes " * 2
     rows = [(1, text, "en", "s", 3), (2, "Ü" + text[5:] + "Ω end", "de", None, None), (3, None, None, None, 1), (4, "short", "en", "s", 5)]
