@@ -2,8 +2,8 @@
 
 log P(language | all) = tempered log-likelihood of the text's byte trigrams + log P(declared language | language) + log P(language | host), where
 the host's prior is smoothed towards that of the address suffix, and this towards that of all rows. Trigram counts come
-from all texts by their declared language; the other tables are grouped sums of what the texts alone say. What the driver
-holds is bounded: a row of TRIGRAMS counts for each of at most LANGUAGES languages.
+from all texts by their declared language; the other tables are grouped sums of what the texts alone say. The driver and each
+task hold a row of TRIGRAMS counts (64 kB) for each language that LEAST rows declare.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import checkpointed
 
 TRIGRAMS = 1 << 13
-LANGUAGES = 32
+#: Rows that must declare a language for it to have a model; in a table of any size.
+LEAST = 3
 #: A text counts as so many independent trigrams at most.
 WEIGHT = 60.0
 #: Rows that a prior from above weighs against a host's or suffix's own.
@@ -38,10 +39,9 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def languages(rows: DataFrame, declared: str) -> list[str]:
-    """The most often declared languages that a thousandth of the rows, and three, declare."""
-    counts = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).groupBy(declared).agg(F.count("*").alias("n")).orderBy(F.desc("n"), declared).limit(LANGUAGES).collect()
-    total = sum(r["n"] for r in counts)
-    return sorted(r[declared] for r in counts if r["n"] >= max(3, total / 1000)) or sorted(r[declared] for r in counts[:1])
+    """All languages that LEAST rows declare; if there are none, the most often declared one."""
+    counts = rows.where(F.col(declared).isNotNull() & (F.col(declared) != "")).groupBy(declared).agg(F.count("*").alias("n"))
+    return sorted(r[declared] for r in counts.where(F.col("n") >= LEAST).collect()) or [r[declared] for r in counts.orderBy(F.desc("n"), declared).limit(1).collect()]
 
 
 def models(rows: DataFrame, names: list[str], text: str, declared: str) -> np.ndarray:
@@ -89,7 +89,9 @@ def identified(rows: DataFrame, text: str = "text", declared: str = "declared",
         found = []
         for t in s:
             g = trigrams(t)
-            found.append((len(g), log_p[:, g].sum(axis=1) * (min(1.0, WEIGHT / len(g)) if len(g) else 0)))
+            # long texts by their counts: beside many languages, a column for each trigram would take much memory
+            total = log_p[:, g].sum(axis=1) if len(g) <= TRIGRAMS else log_p @ np.bincount(g, minlength=TRIGRAMS)
+            found.append((len(g), total * (min(1.0, WEIGHT / len(g)) if len(g) else 0)))
         x = np.array([f for _, f in found]).reshape(len(found), k)
         return pd.DataFrame({"n": [n for n, _ in found], "likelihood": list(x), "alone": list(_softmax(x))})
 

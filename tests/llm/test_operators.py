@@ -365,6 +365,23 @@ def test_language(spark):
     assert {r["lang"] for r in language.identified(df.withColumn("declared", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages(spark):
+    """40 languages of 6 rows each beside 7,000 rows of another: all have a model."""
+    rng = random.Random(8)
+
+    def text(n):
+        letters = random.Random(n).sample("abcdefghijklmnopqrstuvwxyzéèüößñ", 6)
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+
+    rows = [(i, text(99), "en", "h", "s") for i in range(7000)]
+    rows += [(7000 + 6 * n + k, text(n), f"x{n}", "h", "s") for n in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string").repartition(4)
+    assert language.languages(df, "declared") == sorted({r[2] for r in rows})
+    got = language.identified(df).collect()
+    assert sum(r["lang"] == r["declared"] for r in got if r["declared"] != "en") >= 236
+    assert sum(r["lang"] == "en" for r in got) >= 6990
+
+
 def test_language_on_the_tables(spark):
     from leafmill.llm import queries
 
