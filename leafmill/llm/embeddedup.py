@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components
+from leafmill.llm.common import checkpointed, components, forest
 
 #: Vectors by which the rotation is learnt, and rounds.
 SAMPLE, ROUNDS = 4096, 30
@@ -64,23 +64,6 @@ def _compare(a, b, same: bool, cut, threshold: float, tab: list, t: int):
     return i[keep], j[keep]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links, so that a dense group sends on as many rows as it has members."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := root(x)) != (q := root(y)):
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def near_duplicates(df: DataFrame, threshold: float = 0.98, radius: int = 9, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors of one label, linked by a cosine of at least ``threshold``.
 
@@ -169,7 +152,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, radius: int = 9, id:
             i, j = _compare(a, b, p0 == p1, None, threshold, plan.get(d, [(0, 0, 0)]), t)
             for x, w in zip([*a["id"][i].tolist(), *b["id"][j].tolist()], [*b["n"][j].tolist(), *a["n"][i].tolist()], strict=True):
                 counts[x] = counts.get(x, 0) + w
-            edges += _forest(a["id"][i], b["id"][j])
+            edges += forest(a["id"][i], b["id"][j])
         yield pd.DataFrame([(x, None, w) for x, w in counts.items()] + [(x, y, None) for x, y in edges], columns=["a", "b", "n"]).astype("Int64")
 
     links = checkpointed(met.mapInPandas(compare, "a long, b long, n long"))

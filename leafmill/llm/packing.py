@@ -81,9 +81,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> dict[int, list
     return plan
 
 
-#: How the vocabulary's file splits lower-cased text (a fixed value), and the same for the characters below.
+#: How the vocabulary's file splits lower-cased text (a fixed value), and the same for the characters below and their lower case.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ʯⱥⱦ]+|\d|(?:[^\w\s]|_)+")
 #: Other characters than Latin letters, ASCII digits, marks and plain white space, or ones whose lower case depends on what follows.
 ODD = re.compile("[^\\n\\t\\r -~¡-¬®-±´-¸º»¿-įı-ɏ]")
 
@@ -91,50 +91,56 @@ ODD = re.compile("[^\\n\\t\\r -~¡-¬®-±´-¸º»¿-įı-ɏ]")
 class WordEncoder:
     """A tokenizer whose tokens never span white space, with the ids of strings that it splits text into kept.
 
-    Texts of common Latin characters are split here, as the tokenizer would; others at spaces, and their words by the tokenizer.
+    Texts of common Latin characters are split here, as the tokenizer would; others at spaces, and their words by the tokenizer. A text
+    with a special mark in it goes to the tokenizer as it is, for which such a mark is one token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(path)  # a special token stands between words that are encoded together
-        self.apart = self.joined.token_to_id(APART)
+        self.apart = self.tokenizer.token_to_id(APART)  # it stands between words that are encoded together
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in file["added_tokens"]) or "(?!)")
         self.splits = [x.get("pattern", {}).get("Regex") for x in (file.get("pre_tokenizer") or {}).get("pretokenizers", [])][:1] == [PIECES]
+        suffix = file["model"].get("end_of_word_suffix")
+        self.splits &= bool(suffix)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a piece
+        self.ends[[i for t, i in file["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str], pieces: bool) -> None:
+        """``pieces``: each word is one piece for the tokenizer, so its last token tells where it ends."""
         if len(self.cache) + len(words) > CACHE:
-            keep_oldest(self.cache, CACHE // 4)
-        for w in [w for w in words if "<|" in w]:
-            self.cache[w] = self._alone(w)
-        words = [w for w in words if "<|" not in w]
+            keep_oldest(self.cache, CACHE // 2)
         for at in range(0, len(words), 128):
             some = words[at : at + 128]
-            ids = np.array(self.joined.encode_batch_fast([APART.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.apart)).tolist(), 4 * len(ids)]
-            begin = 0
-            for w, end in zip(some, ends, strict=True):
-                self.cache[w] = data[begin:end]
-                begin = end + 4
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self._ids((" " if pieces else APART).join(some))
+            if pieces:
+                begin = end = 1 + np.flatnonzero(self.ends[ids])
+            else:
+                begin, end = 1 + (cut := np.flatnonzero(ids == self.apart)), np.r_[cut, len(ids)]
+            data = ids.tobytes()
+            for w, x, y in zip(some, [0, *(4 * begin[: len(some) - 1]).tolist()], (4 * end).tolist(), strict=True):
+                self.cache[w] = data[x:y]
 
     def encode(self, text: str | None) -> bytes:
         text, cache = text or "", self.cache
-        words = SPLIT.findall(text.lower()) if self.splits and not ODD.search(text) else text.replace("\n", " ").split(" ")
+        if self.special.search(text):
+            return self._ids(text).tobytes()
+        pieces = self.splits and not ODD.search(text)
+        words = SPLIT.findall(text.lower()) if pieces else text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            self._learn(new)
+            self._learn([w for w in dict.fromkeys(words) if w not in cache], pieces)
         try:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:  # the cache began anew
-            self._learn(list(dict.fromkeys(words)))
+            self._learn(list(dict.fromkeys(words)), pieces)
             return b"".join(map(cache.__getitem__, words))
 
 
@@ -157,7 +163,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
                 out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
             return pd.Series(out)
 
-        return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 4))
+        return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 2))
 
     return docs.select(F.col(id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components, ending, joined
+from leafmill.llm.common import checkpointed, components, ending, forest, grouped, joined
 
 BITS = 64
 #: Hashes whose bits are counted at a time.
@@ -209,10 +209,17 @@ def hex16(fp: Column) -> Column:
 
 # --- documents of a given similarity
 
-#: Parts of a long fingerprint at least, bits of each part that are tried both ways, and the share of the least similar pairs that meet.
-PARTS, TRIED, RECALL = 6, 4, 0.98
-#: Rounds over hot keys, the last of which compares all texts that are not linked yet, and rows of a key that one group compares at most.
-ROUNDS, PART = 3, 512
+#: Least hashes of a text's shingles that make a key together, and keys of a text. Two texts share a key with the probability
+#: 1 - (1 - J ** LEAST) ** KEYS: 0.997 at a similarity J of 0.8, in a table of any size.
+LEAST, KEYS = 3, 8
+#: Texts, and shingles of texts, of a key that one group compares at most.
+PART, PART_GRAMS = 256, 400_000
+#: Texts that stand for a group of a key's texts when groups are merged.
+FEW = 4
+#: Rounds that merge a key's groups before the last; each may merge PART / FEW of them.
+MERGES = 2
+#: Columns of the matrix by which shared shingles are counted.
+WIDE = 4096
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 CACHE = 200_000
 _words: dict[bytes, int] = {}
@@ -245,170 +252,162 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def parts_for(width: int, similarity: float) -> int:
-    """Parts of ``width`` bits by which RECALL of the pairs of this similarity meet, if votes are normally distributed."""
-    rng, rho, n = np.random.default_rng(42), 2 * similarity / (1 + similarity), 20_000
-    a = rng.normal(size=(n, width))
-    b = rho * a + math.sqrt(max(0.0, 1 - rho * rho)) * rng.normal(size=(n, width))
-    tried = [np.abs(x).argsort(axis=1).argsort(axis=1) < TRIED for x in (a, b)]
-    met = (((a > 0) == (b > 0)) | tried[0] | tried[1]).all(axis=1).mean()
-    met = min(max(met, 1 / n), 1 - 1 / n)
-    return max(PARTS, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+def keys_of(grams: np.ndarray) -> list[int]:
+    """KEYS numbers, each of the LEAST least values of as many hashes of a text's shingles."""
+    out = []
+    for k in range(KEYS):
+        key = k + 1
+        for i in range(LEAST):
+            h = grams * np.uint64(MIX[k % len(MIX)] + 2 * (k * LEAST + i))
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(MIX[1])
+            least = int(h.min())
+            key = ((key ^ least) * MIX[2] + (least >> 32)) & (1 << 64) - 1
+        out.append(key - (key >> 63 << 64))
+    return out
+
 
+def long_fingerprint(grams: np.ndarray) -> list[int]:
+    """A SimHash of 128 bits as two numbers."""
+    h = np.stack([(x := grams * np.uint64(m)) ^ (x >> np.uint64(31)) for m in MIX[:2]], axis=1)
+    votes = 2 * bit_counts(h) > len(grams)
+    return np.packbits(votes, bitorder="little").view(np.int64).tolist()
 
-def sketch(grams: np.ndarray, width: int, parts: int = PARTS) -> tuple[int, list[int], list[int]]:
-    """Of a text's shingles: 64 bits to filter by, each part's value, and TRIED masks for each part.
 
-    A bit whose votes are nearly even is the likeliest to differ in a near copy: those of the smallest margins are masked, so that
-    a part's ball takes in the likely flips first, and each text's thresholds are its own.
+def most_bits(similarity: float, bits: int = 128) -> int:
+    """Bits in which fingerprints of texts of this similarity differ at most (3.6 deviations above the mean)."""
+    even = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(bits * even + 3.6 * math.sqrt(bits * even * (1 - even)))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets (sorted, without repeats) share."""
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    shared = ~(new & np.r_[new[1:], True])  # not in one set only
+    column, owner = np.cumsum(new[shared]) - 1, owner[shared]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        lo, hi = np.searchsorted(column, (at, at + WIDE))
+        x = np.zeros((len(sets), WIDE), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        total += x @ x.T
+    return total
+
+
+def _near_pairs(g: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links between the texts of a group that aren't linked yet: enough to join all that are near, so no more than texts.
+
+    Where ``side`` 1 stands, its texts are compared with those of side 0, else all with each other.
     """
-    words = -(-parts * width // BITS)
-    h = np.stack([(x := grams * np.uint64(MIX[i % len(MIX)] + 2 * i)) ^ (x >> np.uint64(31)) for i in range(words)], axis=1)
-    margin = 2 * bit_counts(h) - len(grams)
-    values, masks = [], []
-    for p in range(parts):
-        m = margin[p * width : (p + 1) * width]
-        values.append(p << 40 | sum(1 << int(b) for b in np.flatnonzero(m > 0)))
-        masks += [1 << int(b) for b in np.argsort(np.abs(m), kind="stable")[:TRIED]]
-    first = sum(1 << int(b) for b in np.flatnonzero(margin[:BITS] > 0))
-    return first - (first >> 63 << 64), values, masks
-
-
-def _flipped(values: Column, mask: Column) -> Column:
-    return F.transform(values, lambda x: x.bitwiseXOR(mask))
-
-
-def _keys(values: str, masks: str, count: int) -> Column:
-    """All values of all parts with any of their masks on or off."""
-    parts = []
-    for p in range(count):
-        a = F.array(F.get(values, F.lit(p)))
-        for k in range(TRIED):
-            a = F.concat(a, _flipped(a, F.get(masks, F.lit(p * TRIED + k))))
-        parts.append(a)
-    return F.concat(*parts)
-
-
-def _pairs(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs of each key's rows (key, node, fp) within ``most`` bits; a key has at most BUCKET rows."""
-    group = rows.groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("m")).where(F.size("m") > 1)
-    left = group.select(F.explode("m").alias("x"), "m").select("x", F.expr(f"filter(m, y -> y.node > x.node and bit_count(x.fp ^ y.fp) <= {most})").alias("m"))
-    return left.select(F.col("x.node").alias("a"), F.explode("m.node").alias("b"))
-
-
-def _leaders(rest: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(key, x) of each key: the text with the most links so far, the least of them. Results don't depend on the choice, only their cost."""
-    if edges is None:
-        return rest.groupBy("key").agg(F.min(F.struct(F.lit(0).alias("links"), "node", "fp")).alias("x"))
-    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg((-F.count("*")).alias("links"))
-    ranked = rest.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    return ranked.groupBy("key").agg(F.min(F.struct("links", "node", "fp", "comp")).alias("x"))
-
-
-def _stars(rest: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
-    """Pairs of each key's leader and the rows (key, node, fp, comp) of other groups within ``most`` bits."""
-    comp = F.col("x.comp") if "comp" in leaders.schema["x"].dataType.names else F.col("x.node")
-    star = rest.join(leaders, "key").where(F.col("comp") != comp).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= most)
-    return star.select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
-
-
-def _unsettled(rest: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (key, node, fp, comp) of the keys whose texts aren't all linked."""
-    rest = checkpointed(rest.join(components(edges).withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "fp", F.coalesce("comp", "node").alias("comp")))
-    several = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return checkpointed(rest.join(several.select("key"), "key"))
-
-
-def _across(rest: DataFrame, most: int) -> DataFrame:
-    """All pairs of a key's rows (key, node, fp, comp) of different groups within ``most`` bits; keys are cut, and their parts meet two by two."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int")
-    met = rest.join(sizes, "key").withColumn("p", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = ["key", "p0", "p1"]
-    met = met.select("key", F.least("p", "o").alias("p0"), F.greatest("p", "o").alias("p1"), "p", "node", "fp", "comp")
-    met = met.repartition(*cells).sortWithinPartitions(*cells, "p", "node")
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        node, comp, part = (g[c].to_numpy(np.int64) for c in ("node", "comp", "p"))
-        fp = g["fp"].to_numpy(np.int64).view(np.uint64)
-        cut = int((part == part[0]).sum())
-        if g["p0"].iat[0] == g["p1"].iat[0]:
-            left = right = slice(None)
-        elif cut == len(g):  # all of one part, which meets in its own cell
-            return pd.DataFrame({"a": node[:0], "b": node[:0]})
-        else:
-            left, right = slice(cut), slice(cut, None)
-        near = (np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= most) & (comp[left][:, None] != comp[right][None, :])
-        i, j = np.nonzero(near)
-        a, b = node[left][i], node[right][j]
-        keep = a < b if left == right else slice(None)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+    sets = [np.frombuffer(x, np.uint64) for x in g["grams"]]
+    met, size = overlaps(sets), np.array([len(x) for x in sets])
+    comp, node, side = (g[c].to_numpy() for c in ("comp", "node", "side"))
+    near = met >= similarity * (size[:, None] + size[None, :] - met) - 1e-6
+    near &= comp[:, None] != comp[None, :]
+    near &= side[:, None] < side[None, :] if side.any() else np.tri(len(g), k=-1, dtype=bool).T
+    i, j = np.nonzero(near)
+    return forest(node[i], node[j])
+
+
+def _linked(cells: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the texts in each cell (key, p, q, side, node, comp)."""
+    at = ["key", "p", "q"]
+    rows = cells.join(grams, "node").select(*at, "side", "node", "comp", "grams").repartition(*at).sortWithinPartitions(*at, "side", "node")
 
     def compare(frames):
-        """Whole groups of sorted rows; a group may go on in the next batch."""
-        held = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key = pdf[cells].to_numpy()
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            for s, e in zip(new, new[1:]):  # noqa: B905
-                yield pairs(pdf.iloc[s:e])
-            held = pdf.iloc[new[-1] :]
-        if held is not None and len(held):
-            yield pairs(held)
+        for found in grouped(frames, at, lambda g: _near_pairs(g, similarity)):
+            yield pd.DataFrame([x for pairs in found for x in pairs], columns=["a", "b"], dtype="int64")
 
-    return met.mapInPandas(compare, "a long, b long")
+    return checkpointed(rows.mapInPandas(lambda frames: ending(compare(frames)), "a long, b long"))
+
+
+def _spread(rows: DataFrame, parts: Column) -> DataFrame:
+    """Each row (key, node, comp) in a part of its key."""
+    return rows.select("key", F.pmod(F.xxhash64("node"), parts).cast("int").alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "node", "comp")
+
+
+def _parts(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / PART), F.ceil(size / PART_GRAMS), F.lit(1)).cast("int")
+
+
+def _open(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (key, node, n_grams, comp) of the keys whose texts aren't all linked."""
+    comp = components(edges)
+    rows = rows.select("key", "node", "n_grams").join(comp.withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "n_grams", F.coalesce("comp", "node").alias("comp"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return checkpointed(rows.join(several.select("key"), "key"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """FEW texts at most of each group of two or more of a key's texts."""
+    some = rows.groupBy("key", "comp", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(FEW)).alias("k")).agg(F.min(F.struct("node", "n_grams")).alias("x"), F.count("*").alias("n"))
+    large = some.groupBy("key", "comp").agg(F.sum("n").alias("all")).where("all > 1").select("key", "comp")
+    some = some.join(large, ["key", "comp"]).select("key", "comp", "x.*")
+    sizes = some.groupBy("key").agg(_parts(F.count("*"), F.sum("n_grams")).alias("parts"))
+    return _spread(some.join(sizes, "key"), F.col("parts"))
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    """Cells in which all texts of a key outside its largest group meet all texts of the key, part by part."""
+    groups = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_grams").alias("size"))
+    keys = groups.groupBy("key").agg(F.max(F.struct("n", "size", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    keys = keys.select("key", F.col("main.comp").alias("main"), _parts(F.col("n"), F.col("size")).alias("ps"), _parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("qs"))
+    rows = rows.join(keys, "key")
+    every = F.sequence(F.lit(0), F.col("qs") - 1)
+    one = rows.select("key", F.pmod(F.xxhash64("node"), F.col("ps")).cast("int").alias("p"), F.explode(every).alias("q"), F.lit(0).alias("side"), "node", "comp")
+    other = rows.where(F.col("comp") != F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), F.pmod(F.xxhash64("node"), F.col("qs")).cast("int").alias("q"), F.lit(1).alias("side"), "node", "comp")
+    return one.unionAll(other)
 
 
 def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, node, keeper) of each row: ``node`` stands for its text, ``keeper`` tells the row that stays of each group of near copies.
 
-    Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed exactly for each
-    candidate. Candidates share a part of a long fingerprint but for the likeliest flips (parts grow with the rows, and their number
-    with them, so that a pair is as likely found in a large table), and differ in as few of 64 bits as such
-    texts do (3.6 deviations). All candidates of a key are compared unless they are linked already: in keys of more than BUCKET texts first
-    with a few leaders, then those of different groups block by block. The row with the smallest id stays (nulls last, then the smallest node); of repeated
-    rows each is told to stay. Texts without words are near only to equal ones.
+    Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed from all shingles of all
+    candidates. Candidates share a key (see KEYS); keys that have the same texts count once, and those of two texts whose fingerprints differ in
+    more bits than such texts do (3.6 deviations) don't count. A key's texts are compared in parts: first within each part,
+    then a few of each group found, and at last each text outside the key's largest group with all, so that no candidate is left out
+    and a group of n near copies costs in proportion to n. Only texts that a key holds but that are not near cost the square of their number.
+    The row with the smallest id stays (nulls last, then the smallest node); of repeated rows each is told to stay. Texts without words
+    are near only to equal ones.
     """
-    n = max(2, docs.count())
-    width = min(40, max(16, math.ceil(math.log2(n)) + 6))
-    parts = parts_for(width, similarity)
-    even = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    most = math.ceil(BITS * even + 3.6 * math.sqrt(BITS * even * (1 - even)))
+    most = most_bits(similarity)
 
-    @F.pandas_udf("fp long, values array<long>, masks array<long>")
+    @F.pandas_udf("n_grams int, fp array<long>, keys array<long>")
     def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def some(s):
-            return pd.DataFrame([sketch(g, width, parts) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["fp", "values", "masks"])
+            return pd.DataFrame([(len(g), long_fingerprint(g), keys_of(g)) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["n_grams", "fp", "keys"])
 
         return ending(map(some, texts), forget)
 
+    @F.pandas_udf("binary")
+    def grams_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return ending((s.map(lambda t: shingles(t, shingle).tobytes()) for s in texts), forget)
+
     own = docs.select(F.col(id).cast("long").alias("id"), node_of(text).alias("node"), F.col(text).alias("_text"))
     rows = checkpointed(own.select("id", "node", sketched("_text").alias("s")))
-    nodes = rows.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.any_value("s").alias("s"))
-    nodes = checkpointed(nodes)
-    probes = nodes.where("s.values is not null").select("node", F.col("s.fp").alias("fp"), F.explode(_keys("s.values", "s.masks", parts)).alias("key"))
-    sizes = probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = _pairs(probes.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key"), most)
-    rest = checkpointed(probes.join(sizes.where(F.col("n") > BUCKET).select("key"), "key").select("key", "node", "fp"))
-    texts = docs.select(node_of(text).alias("node"), F.col(text).alias("_text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return checkpointed(_verified(checkpointed(pairs.distinct()), texts, similarity, shingle))
-
-    edges = verified(met.unionAll(_stars(rest.withColumn("comp", F.col("node")), _leaders(rest, None), most)))
-    leaders = _leaders(rest, None)
-    for turn in range(ROUNDS):
-        # a leader's own pairs are settled, and so are keys whose texts are all linked
-        rest = _unsettled(rest.join(leaders.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"), edges)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.any_value("s").alias("s")))
+    probes = nodes.where("s.n_grams > 0").select("node", "least", "s.n_grams", "s.fp", F.explode("s.keys").alias("key"))
+    keys = probes.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("n_grams").alias("size"), *(F.bit_xor(F.get("fp", F.lit(i))).alias(f"f{i}") for i in range(2)), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2))
+    )
+    keys = keys.where(f"n > 2 or n = 2 and bit_count(f0) + bit_count(f1) <= {most}").groupBy("n", "x0", "x1").agg(F.min(F.struct("key", "size")).alias("k"))
+    met = checkpointed(probes.join(keys.select("k.key", _parts(F.col("n"), F.col("k.size")).alias("parts")), "key").select("key", "node", "least", "n_grams", "parts"))
+    asked = met.select("node", F.col("least").alias("_id")).distinct()
+    bodies = joined(own.withColumn("_id", F.coalesce("id", F.lit(NO_ID))), asked, ["node", "_id"], "left_semi")
+    grams = checkpointed(bodies.groupBy("node").agg(F.any_value(grams_of("_text")).alias("grams")))
+
+    edges = _linked(_spread(met.withColumn("comp", F.col("node")), F.col("parts")), grams, similarity)
+    rest = _open(met.where("parts > 1"), edges)
+    for turn in range(MERGES + 1):
         if rest.isEmpty():
             break
-        leaders = checkpointed(_leaders(rest, edges)) if turn < ROUNDS - 1 else None
-        near = verified(_stars(rest, leaders, most) if leaders else _across(rest, most))
-        edges = edges.unionAll(near)
-        rest = rest.select("key", "node", "fp")
-        if leaders is None:
-            break
+        edges = edges.unionAll(_linked(_few(rest) if turn < MERGES else _sweep(rest), grams, similarity))
+        if turn < MERGES:
+            rest = _open(rest, edges)
     comp = components(edges)
     classes = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     stays = classes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("_k"))
@@ -425,31 +424,6 @@ def node_of(text: str) -> Column:
     return F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Only texts that are in a pair are sent on, one for each node."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = joined(texts, asked, ["node"], "left_semi").groupBy("node").agg(F.any_value(F.encode("_text", "utf-8")).alias("body"))
-    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("right")), "b")
-
-    @F.pandas_udf("boolean")
-    def near(left: pd.Series, right: pd.Series) -> pd.Series:
-        known: dict[bytes, np.ndarray] = {}
-
-        def grams(body):
-            if (g := known.get(body)) is None:
-                g = known[body] = shingles(bytes(body).decode("utf-8", "surrogatepass"), shingle)
-            return g
-
-        out = []
-        for a, b in zip(left, right, strict=True):
-            a, b = grams(a), grams(b)
-            met = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(met >= similarity * (len(a) + len(b) - met) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    return both.where(near("left", "right")).select("a", "b")
-
-
 def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, as ``same_texts`` tells, in whole and with all columns."""
     told = checkpointed(same_texts(docs, similarity, shingle, id, text))

@@ -295,7 +295,6 @@ def test_packing(spark, docs, rows):
 
     path, cap = P.path("word_bpe_49k.json"), 64
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = []
     for i, text, _, _ in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -403,12 +402,11 @@ def test_word_encoder_as_the_tokenizer():
 
     path, rng = P.path("word_bpe_49k.json"), random.Random(6)
     e, t = packing.WordEncoder(path), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert e.splits
     some = "aebzÉßñøŒ'sllre''dtm019²½_-.,!?<|>|§ªº©«»\xa0\xad\x1cΣςİıſſKǅ日é̂ \t\n\r  "
     plain = "".join(c for c in some if not packing.ODD.search(c))
     assert len(plain) > 30
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for pool in (some, plain) for _ in range(600)] + ["<|endoftext|> x<|startoftext|>", "it's I'LL we'Re 'sx", ""]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for pool in (some, plain) for _ in range(600)] + ["<|endoftext|> x<|startoftext|>", "a <|endoftext|> b", "<|ENDOFTEXT|> <|endoftext |>", "it's I'LL we'Re 'sx", ""]
     texts += ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x250, 64)] + [chr(c) + "a" + chr(c) for c in range(0x250)]
     for x in texts:
         assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
