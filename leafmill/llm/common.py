@@ -81,11 +81,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(df: DataFrame, mb: float) -> int:
-    """How many groups of about ``mb`` of stored input ``df`` makes: in proportion to the optimizer's size estimate."""
-    floor = 2 * shuffle_parts(df.sparkSession)
+def parts_for(df: DataFrame, mb: float, text: str) -> int:
+    """How many groups of about ``mb`` of stored input ``df`` makes: in proportion to the optimizer's size estimate, or, where it has none, to half
+    the bytes of ``text``, which are then counted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(floor, math.ceil(size / (mb * 1e6))), 64 * floor))
+    if size >= 1 << 60:
+        size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+    return max(2 * shuffle_parts(df.sparkSession), math.ceil(size / (mb * 1e6)))
 
 
 #: Rows of a narrow side (a few numbers each) that are sent to every task at most; beyond, both sides are shuffled.

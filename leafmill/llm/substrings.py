@@ -4,32 +4,41 @@ Every string of ``length`` bytes has an anchor: its K-byte substring with the le
 depends on its content only. So equal strings have equal anchors, and a run of strings with one anchor lies in one short
 context around it. Three passes over the texts, which are shuffled once, in blocks by a hash of the id:
 
-1. anchors' hashes, to find those that more than one document has;
-2. the contexts of these anchors, gathered by anchor; there, threshold-bounded interval expansion (breadth-first backward
-   extension as on a Burrows-Wheeler transform) finds the equal strings and the smallest id of each;
+1. anchors' hashes, to find those that more than one document has, and those that are hot;
+2. the contexts of these anchors, gathered by anchor. Those of an anchor with several make a Burrows-Wheeler transform, in which threshold-bounded
+   interval expansion (breadth-first backward extension, after Beller et al., 2013) derives common prefixes by increasing value
+   and stops at the length; what no shorter common prefix parts is one string, and its smallest id is known;
 3. the marks of what is repeated go back to the blocks, and each text is cut.
 
-What moves beside the texts is packed: a few bytes for an anchor.
+A hot anchor (of many blocks, or many times in one) may have as many contexts as there are documents. Its contexts are cut into
+single strings, which are dealt by their own hash, so that different neighbours go to different groups; equal strings of a block are one row, and blocks
+meet in two levels, each of about the square root of their number. What moves beside the texts is packed: a few bytes for an anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import parts_for, trim
+from leafmill.llm.common import checkpointed, parts_for, trim
 
 #: Bytes hashed at a time; arrays of this many 64-bit numbers stay in a core's cache.
 PIECE = 1 << 17
 MULT = 0x9E3779B97F4A7C15
 #: Stored MB of input for each block.
-BLOCK_MB = 2.0
+BLOCK_MB = 1.5
 #: Stands for a null id: above all others.
 NO_ID = (1 << 63) - 1
+#: An anchor is hot if more blocks than this have it, or one has it more often than this.
+HOT_BLOCKS, HOT_TIMES = 256, 256
+#: Contexts gathered, and symbols sorted, at a time.
+ROWS, SYMBOLS = 1 << 13, 1 << 18
+FULL = np.uint32(0xFFFFFFFF)
 
 
 def _power(n: int) -> np.uint64:
@@ -82,25 +91,55 @@ def anchors(text: bytes, length: int, k: int):
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def expand_intervals(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """For strings of ``length`` bytes at ``starts``: a number that equal strings of a group share, -1 for those without equal.
+def expand_intervals(s: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """For each place of the symbols ``s``: a number that it shares with the places of its group where the same ``length`` symbols begin.
 
-    Strings stand in the order of their last l bytes; an interval holds those that agree in them. Step l + 1 reads the byte before,
-    as a Burrows-Wheeler column, and a stable counting sort by it (the LF mapping) gives the intervals of l + 1 bytes. Intervals of
-    one string are dropped at once, and the expansion ends at ``length``.
+    Symbols are under 512; 0 ends a context, and those of a group (numbers that don't fall) stand together. Each group has its own suffix array. An
+    interval of it holds the suffixes that begin with some w; the interval of cw, for each symbol c that stands before w, is found by
+    the step from a suffix to the one a symbol longer, which keeps the order of those before which c stands. Where the interval
+    of a w of l symbols ends and no end is known yet, the common prefix of the two neighbours is l - 1: prefixes are
+    found by increasing value, breadth first, and each end once. After ``length`` rounds the ends that aren't known part nothing shorter.
     """
-    out = np.full(len(starts), -1, np.int64)
-    who = np.argsort(group, kind="stable")
-    interval = group[who]
-    for back in range(1, length + 1):
-        byte = buf[starts[who] + (length - back)]
-        order = np.argsort(byte, kind="stable")
-        who, byte, interval = who[order], byte[order], interval[order]
-        new = np.r_[True, (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])] if len(who) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        alone = np.r_[new[1:], True] & new if len(who) else new
-        who, interval = who[~alone], number[~alone]
-    out[who] = interval
+    n = len(s)
+    padded = np.concatenate([s, np.zeros(64, s.dtype)]).astype(np.uint64)
+
+    def word(at: int, k: int) -> np.ndarray:
+        out = padded[at : at + n].copy()
+        for i in range(1, k):
+            out <<= np.uint64(9)
+            out |= padded[at + i : at + i + n]
+        return out
+
+    first = group.astype(np.uint64) << np.uint64(45) | word(0, 5)
+    order = np.lexsort((*(word(at, 7) for at in range(5 + (length - 5) // 7 * 7, 4, -7)), first))
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.arange(n)
+    longer = np.where((order > 0) & (s[order - 1] > 0), rank[order - 1], -1)  # none before a context's first symbol
+    begins_with = np.append(s[order].astype(np.int64), -1)
+    own = group[order]
+    low = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    high = np.r_[low[1:], n]
+    prefix = np.full(n + 1, -1, np.int8)  # with the suffix before; -1: not known
+    prefix[low] = prefix[n] = 0
+    of = np.full(n + 2, -1, np.int64)  # of[row + 1]: the interval that the step to the row began in
+    for value in range(length):
+        size = high - low
+        rows = np.arange(size.sum()) + np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size)
+        to = longer[rows]
+        back = to >= 0
+        to, whose = to[back], np.repeat(np.arange(len(low)), size)[back]
+        if not len(to):
+            break
+        of[to + 1] = whose
+        last = (of[to + 2] != whose) | (begins_with[to + 1] != begins_with[to])
+        head = (of[to] != whose) | (begins_with[to - 1] != begins_with[to])
+        of[to + 1] = -1
+        low, high = np.sort(to[head]), np.sort(to[last]) + 1
+        new = prefix[high] < 0
+        low, high = low[new], high[new]
+        prefix[high] = value
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(prefix[:n] >= 0) - 1
     return out
 
 
@@ -124,13 +163,13 @@ def _block_anchors(texts: list[bytes], length: int, k: int):
 
 
 def _in_block(hashes: np.ndarray, text: np.ndarray):
-    """Distinct 40-bit hashes, sorted; whether two texts of the block have each; each anchor's number among them."""
+    """Distinct 40-bit hashes, sorted; whether two texts of the block have each; whether it stands there often; each anchor's number among them."""
     short = hashes >> np.uint64(24)
-    values, inverse = np.unique(short, return_inverse=True)
+    values, inverse, times = np.unique(short, return_inverse=True, return_counts=True)
     low, high = np.full(len(values), NO_ID), np.full(len(values), -1)
     np.minimum.at(low, inverse, text)
     np.maximum.at(high, inverse, text)
-    return values, low != high, inverse
+    return values, low != high, times > HOT_TIMES, inverse
 
 
 def _bounds(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -149,18 +188,83 @@ def _values(packed: bytes, first: int) -> np.ndarray:
     return np.uint64(first) + np.cumsum(np.frombuffer(packed, "<u8" if packed[0] else "<u4", offset=1).astype(np.uint64))
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    import pyarrow
+
+    data = b"".join(x.tobytes() for x in arrays)
+    return len(data).to_bytes(8, "little") + pyarrow.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    import pyarrow
+
+    return pyarrow.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
+def _entries(key: np.ndarray, rows: np.ndarray, least: np.ndarray):
+    """Equal (key, row) together: an entry's first item and least id, entries ordered by key; each item's entry.
+
+    Sorted by a hash; should different rows have one, equal ones may be told as several entries, which changes no result.
+    """
+    h = key.copy()
+    for w in rows.T:
+        h = (h ^ w) * np.uint64(MULT)
+        h ^= h >> np.uint64(29)
+    order = np.lexsort((h, key))
+    k, r = key[order], rows[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]).any(axis=1)] if len(k) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[begin], np.minimum.reduceat(least[order], begin) if len(begin) else least[:0], of
+
+
+def _masks(key: np.ndarray, rows: np.ndarray, least: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For entries (distinct, ordered by key): bits of the strings in each that a smaller id than its own has by another entry of its key."""
+    mask = np.zeros(len(key), np.uint32)
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    anchor = np.cumsum(new) - 1
+    several = np.flatnonzero(np.bincount(anchor)[anchor] > 1) if len(key) else anchor
+    width = 2 * length - gram
+    at = 0
+    while at < len(several):  # whole anchors, of about SYMBOLS symbols
+        end = min(len(several), at + SYMBOLS // width)
+        while end < len(several) and anchor[several[end]] == anchor[several[end - 1]]:
+            end += 1
+        some, at = several[at:end], end
+        data = rows[some].view(np.uint8)
+        place, span = (data[:, [c]].astype(np.int64) for c in (-2, -1))
+        j = np.arange(width + 1)
+        stop = length + span
+        # the anchor is one symbol, so strings of `length` bytes are some of `length - gram + 1` symbols
+        symbols = np.where(j == stop, 0, np.where(j == place, 257, data[:, : width + 1].astype(np.uint16) + 1)).astype(np.uint16)
+        taken = (j <= place) | (j >= place + gram) & (j <= stop)
+        begin = np.r_[0, np.cumsum(taken.sum(axis=1))[:-1]]
+        number = anchor[some] - anchor[some[0]]
+        same = expand_intervals(symbols[taken], np.repeat(number, taken.sum(axis=1)), length - gram + 1)
+        count = span[:, 0] + 1
+        owner = np.repeat(np.arange(len(some)), count)
+        offset = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+        string = same[begin[owner] + offset]
+        low = np.full(same.max() + 1, NO_ID)
+        np.minimum.at(low, string, least[some][owner])
+        again = low[string] < least[some][owner]
+        np.bitwise_or.at(mask, some[owner[again]], np.left_shift(np.uint32(1), offset[again].astype(np.uint32)))
+    return mask
+
+
 def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's id, ``n_bytes``, ``removed`` (array of [start, end) runs of bytes, maximal, in order), the bytes kept, and ``carry`` as a struct.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a row with a smaller id. Strings are judged on the input.
     Null texts count as empty. A null id is above all others; rows of equal id are never earlier than each other. Texts are
-    whole and matches don't cross them. Empty tables give none; one row comes out for each that went in.
+    whole, of any length (a block holds at least one), and matches don't cross them. Empty tables give none; one row comes out for each that went in.
     """
-    import zlib
-
     if not 8 <= gram < length <= 255 or length - gram > 31:
         raise ValueError("gram must be under length, by 31 at most")
-    parts = parts_for(docs, BLOCK_MB)
+    parts = parts_for(docs, BLOCK_MB, text)
+    lanes = math.isqrt(parts - 1) + 1
+    width = -(-(2 * length - gram + 2) // 8)  # 64-bit words of a context, with its anchor's place and the span of its strings
     other = F.struct(*carry).alias("other") if carry else F.lit(None).cast("int").alias("other")
     blocks = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("body"), other).select(
         F.pmod(F.xxhash64("id", F.crc32("body")), F.lit(parts)).cast("int").alias("blk"), "id", "body", "other"
@@ -169,146 +273,168 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     def pass_one(pdf: pd.DataFrame) -> pd.DataFrame:
         _, texts, _ = _sorted_rows(pdf)
         found = _block_anchors(texts, length, gram)
-        values, _, _ = _in_block(found[1], found[0])
+        values, _, often, _ = _in_block(found[1], found[0])
         at = _bounds(values, parts)
-        rows = [(i, pdf["blk"].iat[0], _gaps(values[at[i] : at[i + 1]], (i << 40) // parts)) for i in range(parts) if at[i] < at[i + 1]]
+        rows = [(i, pdf["blk"].iat[0], (n := at[i + 1] - at[i]).tobytes() + np.packbits(often[at[i] : at[i + 1]]).tobytes() + _gaps(values[at[i] : at[i + 1]], (i << 40) // parts)) for i in range(parts) if at[i] < at[i + 1]]
         return pd.DataFrame(rows, columns=["bucket", "blk", "body"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each block's anchors: whether another block has them, and whether they are hot."""
         bucket = int(pdf["bucket"].iat[0])
-        lists = [_values(b, (bucket << 40) // parts) for b in pdf["body"]]
-        every = np.concatenate(lists)
-        every.sort()
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        marks = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in lists]
+        counts = [int.from_bytes(b[:8], "little") for b in pdf["body"]]
+        often = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), 8), count=n) for n, b in zip(counts, pdf["body"], strict=True)])
+        every = np.concatenate([_values(b[8 + -(-n // 8) :], (bucket << 40) // parts) for n, b in zip(counts, pdf["body"], strict=True)])
+        _, of, blocks_of = np.unique(every, return_inverse=True, return_counts=True)
+        twice = blocks_of > 1
+        hot = twice & ((blocks_of > HOT_BLOCKS) | (np.bincount(of, often) > 0))
+        ends = np.cumsum(counts)
+        marks = [np.packbits(twice[of[e - n : e]]).tobytes() + np.packbits(hot[of[e - n : e]]).tobytes() for n, e in zip(counts, ends, strict=True)]
         return pd.DataFrame({"kind": 0, "bucket": bucket, "blk": pdf["blk"], "body": marks})
 
-    def shared_anchors(texts, state):
-        found = _block_anchors(texts, length, gram)
-        values, own, inverse = _in_block(found[1], found[0])
-        at = _bounds(values, parts)
-        flag = own.copy()
-        for bucket, body in state:
-            n = at[bucket + 1] - at[bucket]
-            flag[at[bucket] : at[bucket + 1]] |= np.unpackbits(np.frombuffer(body, np.uint8), count=n).astype(bool)
-        return found, flag[inverse]
-
-    def entries_of(ids, texts, found, shared):
-        """Entries in order of bucket; each anchor's entry."""
-        text_no, hashes, place, first, last = found
-        where, entries, least = np.full(len(text_no), -1), {}, []
-        for i in np.flatnonzero(shared).tolist():
-            n, a, b = int(text_no[i]), int(first[i]), int(last[i])
-            key = (int(hashes[i]), bytes((int(place[i]) - a, b - a)) + texts[n][a : b + length])
-            e = entries.setdefault(key, len(entries))
-            if e == len(least):
-                least.append(ids[n])
-            elif ids[n] < least[e]:
-                least[e] = ids[n]
-            where[i] = e
-        return where, list(entries), np.array(least, np.int64)
-
-    def by_bucket(entries):
-        """Numbers of the entries of each bucket."""
-        hashes = np.array([h for h, _ in entries], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        at = _bounds(hashes[order] >> np.uint64(24), parts)
-        return [(i, order[at[i] : at[i + 1]]) for i in range(parts) if at[i] < at[i + 1]]
+    class Block:
+        """A block's texts one after the other, and the contexts of its shared anchors: items, and the entries that equal ones make."""
+
+        def __init__(self, pdf: pd.DataFrame, flags: list[tuple[int, bytes]]) -> None:
+            self.blk = int(pdf["blk"].iat[0])
+            self.ids, self.texts, self.order = _sorted_rows(pdf)
+            lens = np.array([len(t) for t in self.texts], np.int64)
+            self.begin = np.r_[0, np.cumsum(lens + 1)]  # a byte stands between two texts
+            self.bytes = np.frombuffer(b"\0".join([*self.texts, bytes(2 * length)]), np.uint8)
+            text_no, hashes, place, first, last = _block_anchors(self.texts, length, gram)
+            values, shared, _, number = _in_block(hashes, text_no)
+            hot, at = np.zeros(len(values), bool), _bounds(values, parts)
+            for bucket, body in flags:
+                n = int(at[bucket + 1] - at[bucket])
+                twice, burning = (np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), k * -(-n // 8)), count=n).astype(bool) for k in (0, 1))
+                shared[at[bucket] : at[bucket + 1]] |= twice
+                hot[at[bucket] : at[bucket + 1]] = burning
+            hot, shared = hot[number], shared[number]
+            own, cut = np.flatnonzero(shared & ~hot), np.flatnonzero(hot)
+            count = last[cut] - first[cut] + 1
+            strings = np.repeat(cut, count)
+            step = np.arange(len(strings)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) if len(cut) else strings
+            none = np.zeros(len(strings), np.int64)
+            #: of each item: its text, where it starts, how many strings it has beside the first, where its anchor stands
+            self.text = np.r_[text_no[own], text_no[strings]]
+            self.start = self.begin[self.text] + np.r_[first[own], first[strings] + step]
+            self.span, place = np.r_[(last - first)[own], none], np.r_[(place - first)[own], none]
+            rows = np.zeros((len(self.text), 8 * width), np.uint8)
+            j = np.arange(2 * length - gram)
+            for k in range(0, len(rows), ROWS):
+                some = slice(k, k + ROWS)
+                rows[some, : len(j)] = np.where(j < length + self.span[some, None], self.bytes[self.start[some, None] + j], 0)
+            rows[:, -2], rows[:, -1] = place, self.span
+            self.rows = rows.view(np.uint64)
+            hashed = np.zeros(len(strings), np.uint64)  # of each single string
+            for w in self.rows[len(own) :].T:
+                hashed = (hashed ^ w) * np.uint64(MULT)
+                hashed ^= hashed >> np.uint64(31)
+            self.key = key = np.r_[hashes[own], hashed]
+            self.single = np.arange(len(key)) >= len(own)
+            ids = np.array(self.ids, np.int64)
+            self.of = np.empty(len(key), np.int64)
+            self.entries: list[tuple[int, np.ndarray]] = []  # of each bucket
+            items, least, before = [], [], 0
+            for single in (False, True):
+                mine = np.flatnonzero(self.single == single)
+                one, low, of = _entries(key[mine], self.rows[mine], ids[self.text[mine]])
+                self.of[mine] = of + before
+                edges = _bounds(key[mine][one] >> np.uint64(24), parts)
+                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    self.entries.append((parts * (1 + self.blk % lanes) + i if single else i, np.arange(edges[i], edges[i + 1]) + before))
+                items.append(mine[one])
+                least.append(low)
+                before += len(one)
+            self.item, self.least = np.concatenate(items), np.concatenate(least)
 
     def pass_two(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"bucket": [], "blk": [], "body": []})
-        ids, texts, _ = _sorted_rows(pdf)
-        found, shared = shared_anchors(texts, list(zip(state["bucket"], state["body"], strict=True)))
-        _, entries, least = entries_of(ids, texts, found, shared)
-        rows = []
-        for bucket, own in by_bucket(entries):
-            head = np.array([entries[e][0] for e in own], "<u8").tobytes() + least[own].astype("<i8").tobytes()
-            body = b"".join(entries[e][1] for e in own)
-            rows.append((bucket, pdf["blk"].iat[0], len(own).to_bytes(4, "little") + zlib.compress(head + body, 1)))
+        b = Block(pdf, list(zip(state["bucket"], state["body"], strict=True)))
+        rows = [(bucket, b.blk, _pack(b.key[b.item[own]], b.least[own], b.rows[b.item[own]])) for bucket, own in b.entries]
         return pd.DataFrame(rows, columns=["bucket", "blk", "body"])
 
+    def opened(bodies):
+        """Keys, least ids and rows of what blocks sent, and how many each did."""
+        found = []
+        for packed in bodies:
+            data = _unpack(packed)
+            n = len(data) // (16 + 8 * width)
+            found.append((np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<u8", n * width, 16 * n).reshape(n, width)))
+        return *(np.concatenate(x) for x in zip(*found, strict=True)), [len(x[0]) for x in found]
+
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block's entries: which of their strings a smaller id than the entry's own has."""
-        hashes, least, keys, sizes = [], [], [], []
-        for packed in pdf["body"]:
-            n = int.from_bytes(packed[:4], "little")
-            data = zlib.decompress(packed[4:])
-            hashes.append(np.frombuffer(data, "<u8", n))
-            least.append(np.frombuffer(data, "<i8", n, 8 * n))
-            at = 16 * n
-            for _ in range(n):
-                end = at + 2 + data[at + 1] + length
-                keys.append(data[at:end])
-                at = end
-            sizes.append(n)
-        hashes, least = np.concatenate(hashes), np.concatenate(least)
-        number: dict = {}
-        of = np.array([number.setdefault(k, len(number)) for k in zip(hashes.tolist(), keys, strict=True)], np.int64)
-        distinct = list(number)
-        smallest = np.full(len(distinct), NO_ID)
-        np.minimum.at(smallest, of, least)
-        # strings of anchors with one context need no more; those of others are compared
-        anchor = np.unique(np.array([h for h, _ in distinct], np.uint64), return_inverse=True)[1]
-        several = np.bincount(anchor)[anchor] > 1
-        need = np.flatnonzero(several)
-        mask = np.zeros(len(distinct), np.uint32)
-        if len(need):
-            bodies = [distinct[i][1][2:] for i in need.tolist()]
-            lens = np.array([len(b) for b in bodies])
-            begin = np.r_[0, np.cumsum(lens)[:-1]]
-            strings = lens - length + 1
-            owner = np.repeat(np.arange(len(need)), strings)
-            offset = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(strings)[:-1]], strings)
-            same = expand_intervals(np.frombuffer(b"".join(bodies), np.uint8), begin[owner] + offset, anchor[need][owner], length)
-            hit = np.flatnonzero(same >= 0)
-            low = np.full(same.max() + 1 if len(hit) else 0, NO_ID)
-            np.minimum.at(low, same[hit], smallest[need][owner[hit]])
-            dup = hit[low[same[hit]] < smallest[need][owner[hit]]]
-            np.bitwise_or.at(mask, need[owner[dup]], np.left_shift(np.uint32(1), offset[dup].astype(np.uint32)))
-        full = np.uint32(0xFFFFFFFF)
-        marks = np.where(least > smallest[of], full, mask[of]).astype("<u4")
-        ends = np.cumsum(sizes)
-        return pd.DataFrame({"kind": 1, "bucket": int(pdf["bucket"].iat[0]), "blk": pdf["blk"], "body": [zlib.compress(marks[e - n : e].tobytes(), 1) for n, e in zip(sizes, ends, strict=True)]})
+        """For each block's entries: which of their strings a smaller id than the entry's own has.
+
+        Strings of hot anchors meet in lanes of blocks first; those that have a lane's smallest id go on.
+        """
+        bucket = int(pdf["bucket"].iat[0])
+        key, least, rows, sizes = opened(pdf["body"])
+        one, smallest, of = _entries(key, rows, least)
+        later = least > smallest[of]
+        ends, blks = np.cumsum(sizes), pdf["blk"].to_numpy()
+        out = []
+        if bucket < parts:
+            mask = _masks(key[one], rows[one], smallest, length, gram)
+            marks = np.where(later, FULL, mask[of]).astype("<u4")
+        else:
+            marks = np.where(later, FULL, 0).astype("<u4")
+            first = np.flatnonzero(~later)
+            n = len(first)
+            block = np.searchsorted(ends, first, "right")
+            where = np.stack([blks[block], np.full(n, bucket), first - (ends - sizes)[block]]).astype("<i4") if n else np.zeros((3, 0), "<i4")
+            out = [(2, bucket % parts, -1, _pack(key[first], least[first], rows[first]) + where.tobytes() + n.to_bytes(8, "little"))]
+        out += [(1, bucket, int(b), _pack(marks[e - n : e])) for b, n, e in zip(blks, sizes, ends, strict=True)]
+        return pd.DataFrame(out, columns=["kind", "bucket", "blk", "body"])
+
+    def finals(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The entries that have the smallest id of a lane, but not of all: their numbers, for each block and bucket."""
+        heads, tails = [], []
+        for body in pdf["body"]:
+            n = int.from_bytes(body[-8:], "little")
+            heads.append(body[: len(body) - 8 - 12 * n])
+            tails.append(np.frombuffer(body, "<i4", 3 * n, len(body) - 8 - 12 * n).reshape(3, n))
+        key, least, rows, _ = opened(heads)
+        _, smallest, of = _entries(key, rows, least)
+        gone = np.concatenate(tails, axis=1)[:, least > smallest[of]]
+        gone = gone[:, np.lexsort((gone[1], gone[0]))]
+        cuts = np.flatnonzero((gone[:2, 1:] != gone[:2, :-1]).any(axis=0)) + 1
+        out = [(2, int(x[1, 0]), int(x[0, 0]), x[2].tobytes()) for x in np.split(gone, cuts, axis=1) if x.size]
+        return pd.DataFrame(out, columns=["kind", "bucket", "blk", "body"])
 
     def pass_three(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "n_bytes", "removed", "kept", "other"]
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns})
-        ids, texts, order = _sorted_rows(pdf)
-        flags, marks = ([(b, x) for k, b, x in zip(state["kind"], state["bucket"], state["body"], strict=True) if k == kind] for kind in (0, 1))
-        found, shared = shared_anchors(texts, flags)
-        where, entries, least = entries_of(ids, texts, found, shared)
-        mask, said = np.zeros(len(entries), np.uint32), dict(marks)
-        for bucket, own in by_bucket(entries):
-            mask[own] = np.frombuffer(zlib.decompress(said[bucket]), "<u4")
-        spans: list[list] = [[] for _ in texts]
-        text_no, _, _, first, last = found
-        for i in np.flatnonzero(shared).tolist():
-            n, e = int(text_no[i]), int(where[i])
-            bits = 0xFFFFFFFF if ids[n] > least[e] else int(mask[e])
-            if not bits:
-                continue
-            a, b, runs = int(first[i]), int(last[i]), spans[n]
-            for s in range(a, b + 1) if bits != 0xFFFFFFFF else (None,):
-                x, y = (a, b + length) if s is None else (s, s + length)
-                if s is not None and not bits >> (s - a) & 1:
-                    continue
-                if runs and x <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], y)
-                else:
-                    runs.append([x, y])
+        flags, marks, late = ([(b, x) for k, b, x in zip(state["kind"], state["bucket"], state["body"], strict=True) if k == kind] for kind in range(3))
+        b = Block(pdf, flags)
+        mask, said, gone_too = np.zeros(len(b.least), np.uint32), dict(marks), dict(late)
+        for bucket, own in b.entries:
+            mask[own] = np.frombuffer(_unpack(said[bucket]), "<u4")
+            if bucket in gone_too:
+                mask[own[np.frombuffer(gone_too[bucket], "<i4")]] = FULL
+        bits = mask[b.of]
+        bits[np.array(b.ids, np.int64)[b.text] > b.least[b.of]] = FULL
+        whole, some = bits == FULL, np.flatnonzero((bits != FULL) & (bits != 0))
+        i, j = np.nonzero(bits[some, None] >> np.arange(32, dtype=np.uint32) & 1)
+        x = np.r_[b.start[whole], b.start[some[i]] + j]
+        y = np.r_[(b.start + b.span)[whole], b.start[some[i]] + j] + length
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], np.maximum.accumulate(y[order])
+        new = np.flatnonzero(np.r_[True, x[1:] > y[:-1]]) if len(x) else x
+        x, y = x[new], y[np.r_[new[1:] - 1, len(y) - 1]] if len(x) else y
+        text = np.searchsorted(b.begin, x, "right") - 1
+        runs: list[list] = [[] for _ in b.texts]
+        for n, s, e in zip(text.tolist(), (x - b.begin[text]).tolist(), (y - b.begin[text]).tolist(), strict=True):
+            runs[n].append([s, e])
         rows, others = [], pdf["other"].tolist() if carry else [None] * len(pdf)
-        for n, (i, t) in enumerate(zip(ids, texts, strict=True)):
-            kept, at = [], 0
-            for x, y in spans[n]:
-                kept.append(t[at:x])
-                at = y
-            kept.append(t[at:])
-            rows.append((i, len(t), spans[n], b"".join(kept), others[order[n]]))
+        for n, (own_id, t) in enumerate(zip(b.ids, b.texts, strict=True)):
+            edges = [0, *(e for run in runs[n] for e in run), len(t)]
+            rows.append((own_id, len(t), runs[n], b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)), others[b.order[n]]))
         return pd.DataFrame(rows, columns=columns)
 
     packed, marked = "bucket int, blk int, body binary", "kind int, bucket int, blk int, body binary"
+
     def lean(f):
         """A worker gives back what a group took before it goes on."""
 
@@ -327,9 +453,11 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     flags = blocks.groupBy("blk").applyInPandas(lean(pass_one), packed).groupBy("bucket").applyInPandas(lean(meet), marked)
     texts = blocks.groupBy("blk")
     sent = texts.cogroup(flags.groupBy("blk")).applyInPandas(lean(pass_two), packed)
-    marks = sent.groupBy("bucket").applyInPandas(lean(judge), marked)
-    other = blocks.schema["other"].dataType.simpleString()
-    cut = texts.cogroup(flags.unionAll(marks).groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept binary, other {other}")
+    judged = checkpointed(sent.groupBy("bucket").applyInPandas(lean(judge), marked))
+    late = judged.where("kind = 2").groupBy("bucket").applyInPandas(lean(finals), marked)
+    state = flags.unionAll(judged.where("kind = 1")).unionAll(late)
+    kind = blocks.schema["other"].dataType.simpleString()
+    cut = texts.cogroup(state.groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept binary, other {kind}")
     return cut.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 

@@ -147,8 +147,10 @@ def test_licences(spark, docs, rows):
     assert licences.scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("length,gram", [(50, 26), (24, 12)])
-def test_substrings(spark, docs, rows, length, gram):
+@pytest.mark.parametrize("length,gram,hot", [(50, 26, 256), (24, 12, 256), (50, 26, 0), (24, 12, 1)])
+def test_substrings(spark, docs, rows, length, gram, hot, monkeypatch):
+    """``hot``: blocks above which an anchor's strings are dealt one by one, through lanes."""
+    monkeypatch.setattr(substrings, "HOT_BLOCKS", hot)
     got = as_set(substrings.digest(substrings.repeated(docs, length, gram)))
     assert got == sorted(substrings.brute([(r[0], r[1]) for r in rows], length), key=str)
     assert any(r[2] and r[2] < r[1] for r in got)
@@ -170,15 +172,32 @@ def test_substrings_empty(spark):
     assert substrings.repeated(empty(spark)).count() == 0
 
 
-def test_interval_expansion():
-    rng = np.random.default_rng(2)
-    buf = rng.integers(97, 99, 400).astype(np.uint8)
-    starts = np.arange(380)
-    same = substrings.expand_intervals(buf, starts, np.zeros(380, np.int64), 12)
-    strings = [buf[s : s + 12].tobytes() for s in starts]
-    for i in range(380):
-        assert (same[i] >= 0) == (strings.count(strings[i]) > 1)
-        assert all((same[i] == same[j]) == (strings[i] == strings[j]) for j in range(i) if same[i] >= 0)
+def test_a_common_line_with_other_neighbours(spark):
+    """An anchor with as many contexts as documents, in and across blocks."""
+    rng = random.Random(8)
+    line = "the line that all of them have, of more than fifty bytes in all"
+    rows = [(n, "".join(rng.choice("abc ") for _ in range(40)) + line * (1 + n % 2) + "".join(rng.choice("abc ") for _ in range(40))) for n in range(900)]
+    got = as_set(substrings.digest(substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))))
+    assert got == sorted(substrings.brute(rows), key=str)
+
+
+@pytest.mark.parametrize("length", [5, 12, 25, 32])
+def test_interval_expansion(length):
+    """Places share a number just if the same symbols begin there, in one group; small alphabets, repeats and runs of one symbol."""
+    rng = np.random.default_rng(length)
+    for letters in (2, 3, 250):
+        contexts = [rng.integers(1, letters, rng.integers(1, 70)) for _ in range(30)]
+        contexts += [contexts[0], np.r_[contexts[1], 5], contexts[2][3:], np.full(60, 1), np.full(50, 1)]
+        rng.shuffle(contexts)
+        s = np.concatenate([np.r_[c, 0] for c in contexts]).astype(np.uint16)
+        group = np.repeat(np.arange(len(contexts)) // 6, [len(c) + 1 for c in contexts])
+        same = substrings.expand_intervals(s, group, length)
+        seen = {}
+        for at in range(len(s) - length):
+            w = tuple(s[at : at + length].tolist())
+            if 0 not in w:
+                assert seen.setdefault((group[at], w), same[at]) == same[at]
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_byte_bpe(spark, docs, rows):
