@@ -1,4 +1,9 @@
-"""Markdown as typed blocks (kind, text), as a renderer to pages takes them: h1..h6, bullet, paragraph, code."""
+"""Markdown as typed blocks (kind, text), as a renderer to pages takes them: h1..h6, bullet, paragraph, code.
+
+Blocks are what blank lines part, after fenced code is taken out. What a block is, its first line tells: a table, a list, indented code; headings, rules and
+quotes also begin inside one. As such renderers have it, an item loses its own text to a list nested in it, and items that a blank line parts from
+others of their list are paragraphs.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Style and space after (in points) of each kind of block on a page.
-STYLES = {"h1": ("Title", 12), "h2": ("Heading2", 10), "h3": ("Heading3", 8), "h4": ("Heading4", 6), "h5": ("Heading5", 6), "h6": ("Heading6", 6), "bullet": ("Bullet", 4), "paragraph": ("Body", 6), "code": ("Code", 6)}
-
-_ATX = re.compile(r"(#{1,6})\s*(.*?)\s*#*\s*\Z")
-_ITEM = re.compile(r"\s*(?:[*+-]|\d+\.)\s+(.*)\Z", re.S)
-_FENCE = re.compile(r"(`{3,}|~{3,})")
-_RULE = re.compile(r"\s{0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})\Z")
-_DIVIDER = re.compile(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*\Z")
+# The style of each kind of block on a page, the centimetres after it, and what stands before its text.
+STYLES = {
+    "h1": ("title", 0.3, ""),
+    "h2": ("heading1", 0.2, ""),
+    "h3": ("heading2", 0.2, ""),
+    "h4": ("heading3", 0.2, ""),
+    "h5": ("heading4", 0.2, ""),
+    "h6": ("heading4", 0.2, ""),
+    "bullet": ("bullet", 0.0, "• "),
+    "paragraph": ("normal", 0.2, ""),
+    "code": ("code", 0.2, ""),
+}
+
+ATX = re.compile(r"(#{1,6})\s*(.*?)\s*#*\s*\Z")
+ITEM = re.compile(r"(\s*)(?:[*+-]|\d+\.)\s+(.*)\Z", re.S)
+FENCE = re.compile(r"(`{3,}|~{3,})")
+RULE = re.compile(r"\s{0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})\Z")
+UNDERLINE = re.compile(r"(=+|-+)\s*\Z")
+DIVIDER = re.compile(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*\Z")
 
 
 def flat(text: str) -> str:
@@ -27,65 +43,113 @@ def flat(text: str) -> str:
     return re.sub(r"`([^`\n]+)`", r"\1", text).strip()
 
 
-def _cells(row: str) -> str:
-    return " | ".join(flat(c.replace("\0", "|")) for c in row.strip().replace("\\|", "\0").strip("|").split("|"))
+def cells(row: str) -> list[str]:
+    return [flat(c.replace("\0", "|")) for c in row.strip().replace("\\|", "\0").strip("|").split("|")]
 
 
-def blocks(markdown: str | None) -> list[tuple[str, str]]:
-    """The blocks in order. A table is one block of code, a row for each line without the divider; blocks without text are dropped."""
-    rows, out, held, at = (markdown or "").splitlines(), [], [], 0
-
-    def put(kind: str, text: str) -> None:
-        if text:
-            out.append((kind, text))
-
-    def close() -> None:
-        """Ends the paragraph, or the items, of the lines that are held."""
-        nonlocal held
-        item = None
-        paragraph: list[str] = []
-        for line in held:
-            if m := _ITEM.match(line):
-                if item is not None:
-                    put("bullet", flat("\n".join(item)))
-                put("paragraph", flat("\n".join(paragraph)))
-                paragraph, item = [], [m[1]]
-            elif item is not None:
-                item.append(line.strip())
+def table(rows: list[str]) -> str:
+    """Rows behind the divider are as wide as the first."""
+    head, body = cells(rows[0]), map(cells, rows[2:])
+    grid = [head, *((row + [""] * len(head))[: len(head)] for row in body)]
+    return "\n".join("| " + " | ".join(row) + " |" for row in grid)
+
+
+def indent_of(line: str) -> int:
+    return len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+
+
+class _Blocks:
+    def __init__(self) -> None:
+        self.out: list[list[str]] = []
+        self.items: list[tuple[int, int]] = []  # (level, number in out) of the list that goes on
+
+    def put(self, kind: str, text: str) -> None:
+        self.out.append([kind, text])
+
+    def block(self, rows: list[str]) -> None:
+        """One block's lines, none of them blank."""
+        if not rows:
+            return
+        if self.items and indent_of(rows[0]) >= 4:
+            self._loosen()
+            inner = [x.expandtabs(4)[min(4, indent_of(x)) :] for x in rows]
+            if ITEM.match(inner[0]):
+                self._list(inner, 1)
+            else:
+                self.put("paragraph", flat("\n".join(inner)))
+            return
+        if ITEM.match(rows[0]) and indent_of(rows[0]) < 4 and not RULE.match(rows[0]):
+            after = len(self.items) > 0
+            if after:
+                self._loosen()
+            first = len(self.out)
+            self._list(rows, 0)
+            if after and self.out[first][0] == "bullet":
+                self.out[first][0] = "paragraph"
+            return
+        self.items = []
+        if indent_of(rows[0]) >= 4:
+            n = next((i for i, x in enumerate(rows) if indent_of(x) < 4), len(rows))
+            self.put("code", "\n".join(x.expandtabs(4)[4:] for x in rows[:n]).rstrip())
+            self.block(rows[n:])
+        elif len(rows) > 1 and "|" in rows[0] and "|" in rows[1] and DIVIDER.match(rows[1]):
+            self.put("code", table(rows))
+        elif (n := next((i for i, x in enumerate(rows) if ATX.match(x)), None)) is not None:
+            self.block(rows[:n])
+            level, title = ATX.match(rows[n]).groups()
+            self.put(f"h{len(level)}", flat(title))
+            self.block(rows[n + 1 :])
+        elif len(rows) > 1 and UNDERLINE.match(rows[1]):
+            self.put("h1" if rows[1][0] == "=" else "h2", flat(rows[0]))
+            self.block(rows[2:])
+        elif (n := next((i for i, x in enumerate(rows) if RULE.match(x)), None)) is not None:
+            self.block(rows[:n])
+            self.block(rows[n + 1 :])
+        elif (n := next((i for i, x in enumerate(rows) if re.match(r"\s{0,3}>", x)), None)) is not None:
+            self.block(rows[:n])
+            self.block([y for x in rows[n:] if (y := re.sub(r"\A\s{0,3}>\s?", "", x)).strip()])
+            self.items = []
+        else:
+            self.put("paragraph", flat("\n".join(rows)))
+
+    def _list(self, rows: list[str], level: int) -> None:
+        """Items at once one after the other: an item that is followed by a deeper one loses its text."""
+        found: list[tuple[int, list[str]]] = []
+        for x in rows:
+            if m := ITEM.match(x):
+                found.append((level + indent_of(x) // 4, [m[2]]))
             else:
-                paragraph.append(re.sub(r"\A\s*>\s?", "", line))
-        if item is not None:
-            put("bullet", flat("\n".join(item)))
-        put("paragraph", flat("\n".join(paragraph)))
-        held = []
+                found[-1][1].append(x.strip())
+        for n, (own, lines) in enumerate(found):
+            lost = n + 1 < len(found) and found[n + 1][0] > own
+            self.items.append((own, len(self.out)))
+            self.put("lost" if lost else "bullet", flat("\n".join(lines)))
+
+    def _loosen(self) -> None:
+        """A blank line and more of the list follow: its last outer item is a paragraph."""
+        self.out[next(n for level, n in reversed(self.items) if level == 0)][0] = "paragraph"
+
 
+def blocks(markdown: str | None) -> list[tuple[str, str]]:
+    """The blocks in order. A table is one block of code, a row for each line without the divider; blocks without text are dropped."""
+    rows, found, held, at = (markdown or "").splitlines(), _Blocks(), [], 0
     while at < len(rows):
         line = rows[at]
-        if (fence := _FENCE.match(line)) and any(x.startswith(fence[1]) for x in rows[at + 1 :]):
-            close()
-            end = next(i for i in range(at + 1, len(rows)) if rows[i].startswith(fence[1]))
-            put("code", "\n".join(rows[at + 1 : end]).rstrip())
+        fence = FENCE.match(line)
+        end = next((i for i in range(at + 1, len(rows)) if rows[i].startswith(fence[1])), None) if fence else None
+        if end is not None:
+            found.block(held)
+            held, found.items = [], []
+            found.put("code", "\n".join(rows[at + 1 : end]).rstrip())
             at = end
-        elif not line.strip():
-            close()
-        elif m := _ATX.match(line):
-            close()
-            put(f"h{len(m[1])}", flat(m[2]))
-        elif held and re.match(r"(=+|-+)\s*\Z", line) and len(held) == 1 and not _ITEM.match(held[0]):
-            put("h1" if line[0] == "=" else "h2", flat(held.pop()))
-        elif _RULE.match(line):
-            close()
-        elif not held and "|" in line and at + 1 < len(rows) and "|" in rows[at + 1] and _DIVIDER.match(rows[at + 1]):
-            end = at + 2
-            while end < len(rows) and "|" in rows[end] and rows[end].strip():
-                end += 1
-            put("code", "\n".join(_cells(x) for i, x in enumerate(rows[at:end]) if i != 1))
-            at = end - 1
-        else:
+        elif line.strip():
             held.append(line)
+        else:
+            found.block(held)
+            held = []
         at += 1
-    close()
-    return out
+    found.block(held)
+    return [(kind, text) for kind, text in found.out if text and kind != "lost"]
 
 
 def md_blocks(docs: DataFrame, id: str, markdown: str) -> DataFrame:
@@ -99,10 +163,9 @@ def md_blocks(docs: DataFrame, id: str, markdown: str) -> DataFrame:
 
 
 def styled(rows: DataFrame) -> DataFrame:
-    """Blocks with their style, the space after them, and their text with markup escaped (code stays as it is)."""
+    """Blocks with their style, the space after them in centimetres, and their text as it is shown, with markup escaped (code stays as it is)."""
     from leafmill.functions.scalars import escape_markup
 
-    known = F.create_map(*(F.lit(x) for kind, (style, _) in STYLES.items() for x in (kind, style)))
-    space = F.create_map(*(F.lit(x) for kind, (_, points) in STYLES.items() for x in (kind, points)))
-    shown = F.when(F.col("kind") == "code", F.col("text")).otherwise(escape_markup(F.col("text")))
-    return rows.withColumns({"style": F.element_at(known, F.col("kind")), "space_after": F.element_at(space, F.col("kind")), "text": shown})
+    style, space, sign = (F.element_at(F.create_map(*(F.lit(x) for kind, own in STYLES.items() for x in (kind, own[n]))), F.col("kind")) for n in range(3))
+    shown = F.when(F.col("kind") == "code", F.col("text")).otherwise(F.concat(sign, escape_markup(F.col("text"))))
+    return rows.withColumns({"style": style, "space_after": space, "text": shown})

@@ -28,11 +28,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _move(spark: SparkSession, old: str, new: str) -> None:
+    """``old`` takes the place of ``new``, which is set aside first and goes last: at each moment one of the two is whole."""
     jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(new).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(new), True)
-    if not fs.rename(jvm.Path(old), jvm.Path(new)):
-        raise OSError(f"{old} can't be renamed to {new}")
+    fs, aside = jvm.Path(new).getFileSystem(spark._jsc.hadoopConfiguration()), f"{new.rstrip('/')}.{uuid.uuid4().hex}.old"
+    for a, b in (*([(new, aside)] if _exists(spark, new) else []), (old, new)):
+        if not fs.rename(jvm.Path(a), jvm.Path(b)):
+            raise OSError(f"{a} can't be renamed to {b}")
+    fs.delete(jvm.Path(aside), True)
 
 
 def run(spark: SparkSession, source: str, out: str, force: bool = False, compat: bool = True) -> DataFrame:

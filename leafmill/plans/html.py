@@ -106,7 +106,7 @@ def page_link_rows(spark, sf_dir):
     """A row for each link of each page: its place, address and text."""
     found = F.expr("regexp_extract_all(html, '(?is)<a(?!\\\\w)[^>]*(?<!\\\\w)href\\\\s*=\\\\s*[\"\\']?[^>]*>.*?</a>', 0)")
     rows = load(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("p", "m"))
-    return rows.select("page_id", (F.col("p") + 1).alias("pos"), F.regexp_extract("m", rf"(?is)href\s*=\s*{H.VALUE}", 2).alias("href"), F.regexp_extract("m", "(?s)>(.*)</", 1).alias("text"))
+    return rows.select("page_id", (F.col("p") + 1).alias("pos"), F.regexp_extract("m", rf"(?is)href\s*=\s*{H.VALUE}", 1).alias("href"), F.regexp_extract("m", "(?s)>(.*)</", 1).alias("text"))
 
 
 @query("html_emphasis", "SELECT p_partkey AS id, '<p>**' || p_name || '** *' || p_brand || '* **' || p_type || '** *x*</p>' AS out FROM part")
@@ -167,33 +167,51 @@ def render_table(spark, sf_dir):
     return grid.pipe_table(grid.table_lines(cells, ["run"]), blank_end=True).select("run", "markdown")
 
 
-#: Markup whose result is known, for the steps that SQL can't follow.
-ANCHORED = [
-    (1, '<p><a id="heading_1"></a>One <b>two</b> &amp; three</p>', "## One two & three\n\n"),
-    (2, "<p class=x><a id='heading_2'></a>T</p>", "# T\n\n"),
-    (3, '<p><a id="heading_9"></a>unknown</p>', '<p><a id="heading_9"></a>unknown</p>'),
-    (4, "<p><a id=heading_1></a> </p>", ""),
-]
-NESTED = [
-    (1, "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "\n- a\n  - b\n- c\n\n"),
-    (2, "<ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li></ul>", "\n- a\n  - b\n      - c\n\n"),
-    (3, '<ol start="5"><li>a</li><li><p>b</p><p>c</p></li><li> </li></ol>', "\n1. a\n2. b\n  c\n3.\n\n"),
-    (4, "<ul><li><ul><li>x</li></ul></li></ul>", "\n- - x\n\n"),
-    (5, "x<br/>y &lt;z&gt;", "x<br/>y <z>"),
-]
-
-
-@query("anchored_headings", " UNION ALL ".join(f"SELECT {i}::BIGINT AS id, '{o.replace(chr(39), chr(39) * 2)}' AS out" for i, _, o in ANCHORED))
+@query(
+    "anchored_headings",
+    """SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN '## ' || p_name || ' & ' || p_brand || chr(10) || chr(10) WHEN 1 THEN '# ' || p_name || chr(10) || chr(10)
+WHEN 2 THEN '<p><a id="heading_9"></a>' || p_name || '</p>' WHEN 3 THEN '' ELSE '<p>' || p_name || '</p>' END AS out FROM part""",
+)
 def anchored_headings(spark, sf_dir):
-    load(spark, sf_dir, "region")
-    rows = spark.createDataFrame([(i, h, {"heading_1": 2, "heading_2": 1}) for i, h, _ in ANCHORED], "id long, html string, levels map<string,int>")
-    return rows.select("id", H.anchored_headings("html", "levels").alias("out"))
+    """Paragraphs with a bookmark: of a known level, of none, without text, and without one."""
+    forms = ('<p><a id="heading_1"></a>{} <b>&amp; {}</b></p>', "<p class=x> <a id='heading_2'> </a>{}</p>", '<p><a id="heading_9"></a>{}</p>', "<P><A ID=heading_1></A> <i></i></P>", "<p>{}</p>")
+    html = F.lit(None)
+    for n, form in enumerate(forms):
+        pieces = form.split("{}")
+        own = F.concat(F.lit(pieces[0]), *(x for c, p in zip(("p_name", "p_brand"), pieces[1:]) for x in (F.col(c), F.lit(p))))  # noqa: B905
+        html = F.when(F.col("p_size") % 5 == n, own).otherwise(html)
+    levels = F.create_map(F.lit("heading_1"), F.lit(2), F.lit("heading_2"), F.lit(1))
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), H.anchored_headings(html, levels).alias("out"))
 
 
-@query("nested_lists", " UNION ALL ".join(f"SELECT {i}::BIGINT AS id, '{o}' AS out" for i, _, o in NESTED))
+@query(
+    "nested_lists",
+    """SELECT p_partkey AS id, '<p id="k" x>' || '</p>' || chr(10) || '- ' || p_name || chr(10) || '  - ' || p_brand || chr(10) || '  - ' || p_type || chr(10) || '- ' || CASE WHEN p_size % 2 = 0 THEN p_size || chr(10) || '  end' ELSE p_size || ' end' END || chr(10) || chr(10) ||
+'<br/>tail' || chr(10) || '1. ' || p_brand || chr(10) || '2. x' || chr(10) || '3.' || chr(10) || chr(10) AS out FROM part""",
+)
 def nested_lists(spark, sf_dir):
-    load(spark, sf_dir, "region")
-    return spark.createDataFrame([(i, h) for i, h, _ in NESTED], "id long, html string").select("id", H.lists("html").alias("out"))
+    """Lists in lists, items of several lines, an empty one, text outside of items, and other markup with its attributes."""
+    end = F.when(F.col("p_size") % 2 == 0, "<br>end").otherwise("  end")
+    html = F.concat(
+        F.lit("<p id='k' x></p><ul>lost<li> "), "p_name", F.lit(" <ul><li><p>"), "p_brand", F.lit("</p></li><li>"), "p_type", F.lit("</li></ul></li><li>"), F.col("p_size").cast("string"), end,
+        F.lit('</li></ul><br/>tail<ol start="5"><li>'), "p_brand", F.lit("</li><li><b>x</b></li><li> </li></ol>"),
+    )
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), H.lists(html).alias("out"))
+
+
+@query(
+    "table_edges",
+    """SELECT p_partkey AS id, '| ' || p_name || ' | ' || p_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | a<br>b\\|c |' || chr(10) ||
+CASE WHEN p_size % 2 = 0 THEN '| ' || p_brand || ' | ' || p_type || ' |' || chr(10) || '| ' || p_brand || ' |  |' ELSE '| ' || p_type || ' | x |' END || chr(10) || chr(10) AS out FROM part""".replace("\\\\", "\\"),
+)
+def table_edges(spark, sf_dir):
+    """Spans that are no numbers or too long, rows without cells, a cell that doesn't end, line breaks and bars in cells."""
+    even = F.col("p_size") % 2 == 0
+    html = F.concat(
+        F.lit("<TABLE><tr></tr><tr><th colspan=2 rowspan=x>"), "p_name", F.lit("</th></tr><tr><td rowspan='"), F.when(even, "3").otherwise("-3"), F.lit("'>"), "p_brand", F.lit("</td><td colspan=0>a<br>b|c<p></p></td></tr><tr><td>"), "p_type",
+        F.when(even, "</td><td>gone</tr>").otherwise("</td><td><i>x</i></td></tr>"), F.lit("</table>"),
+    )
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), H.tables(html).alias("out"))
 
 
 @query("md_escape", "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '>', '&gt;'), '<', '&lt;') AS out FROM documents")

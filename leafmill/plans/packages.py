@@ -52,6 +52,15 @@ def scan_docx(spark, sf_dir):
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "stem")
 
 
+@query("scan_order", "SELECT 's' || s_suppkey || '.docx' AS name, row_number() OVER (ORDER BY 's' || s_suppkey || '.docx')::INT AS place FROM supplier")
+def scan_order(spark, sf_dir):
+    """The place of each file in the sorted listing; here, of names alone, one task numbers them."""
+    from pyspark.sql import Window
+
+    found = docx.listing(spark, folder(spark, sf_dir)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    return found.select("name", F.row_number().over(Window.orderBy("name")).alias("place"))
+
+
 @query(
     "validate_docx",
     "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 5 = 0 THEN 'BadPackage: not a ZIP file' WHEN s_suppkey % 7 = 0 THEN 'BadPackage: no word/document.xml' END AS error FROM supplier",
@@ -140,6 +149,20 @@ def docx_assets(spark, sf_dir):
     return rows.select("doc_id", "a.name", F.octet_length("a.content").alias("size"))
 
 
+_PNG = "unhex('89504E470D0A1A0A')"
+
+
+@query(
+    "picture_assets",
+    f"""WITH k AS (SELECT s_suppkey AS doc_id, 'image_' || sha256({_PNG} || ('far' || s_suppkey)::BLOB)[:16] || '.png' AS far, 'a_' || sha256({_PNG} || ('other' || s_suppkey)::BLOB)[:8] || '.png' AS other FROM supplier)
+SELECT doc_id, '![](assets/' || far || ')' || {N} || {N} || '![](assets/a.png)' || {N} || {N} || '![](assets/' || other || ')' AS markdown, list_sort(['a.png', 'b.png', far, other]) AS names FROM k""",
+)
+def picture_assets(spark, sf_dir):
+    """A picture outside the media folder takes a name from its digest; of equal ones the first's name counts; a taken name gets a digest."""
+    made = docx.converted(supplier_files(load(spark, sf_dir, "supplier"), assets=True))
+    return made.select(key_of().alias("doc_id"), "markdown", F.array_sort(F.col("assets.name")).alias("names"))
+
+
 @query(
     "batch_convert",
     """WITH k AS (SELECT CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS s FROM supplier)
@@ -173,7 +196,7 @@ def part_markdown(spark, sf_dir):
 
 
 _BLOCKS = f"""b AS (SELECT p_partkey, u.n AS block_no, CASE u.n WHEN 0 THEN 'h1' WHEN 1 THEN 'bullet' WHEN 2 THEN 'bullet' WHEN 3 THEN 'paragraph' ELSE 'code' END AS kind,
-CASE u.n WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN 'size ' || p_size || ' x' || {N} || 'and < more' WHEN 4 THEN 'a | b' || {N} || p_brand || ' | ' || p_size ELSE 'code ' || p_name END AS text FROM part, unnest([0, 1, 2, 3, 4, 5]) AS u(n))"""
+CASE u.n WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN 'size ' || p_size || ' x' || {N} || 'and < more' WHEN 4 THEN '| a | b |' || {N} || '| ' || p_brand || ' | ' || p_size || ' |' ELSE 'code ' || p_name END AS text FROM part, unnest([0, 1, 2, 3, 4, 5]) AS u(n))"""
 
 
 @query("md_blocks", f"WITH {_BLOCKS} SELECT p_partkey AS id, block_no, kind, text FROM b")
@@ -181,10 +204,14 @@ def md_blocks(spark, sf_dir):
     return B.md_blocks(part_markdown(spark, sf_dir), "p_partkey", "markdown").withColumnRenamed("p_partkey", "id")
 
 
-@query("md_block_styles", f"WITH {_BLOCKS} SELECT p_partkey AS id, block_no, CASE kind WHEN 'h1' THEN 'Title' WHEN 'bullet' THEN 'Bullet' WHEN 'paragraph' THEN 'Body' ELSE 'Code' END AS style, CASE kind WHEN 'paragraph' THEN replace(text, '<', '&lt;') ELSE text END AS text FROM b")
+@query(
+    "md_block_styles",
+    f"""WITH {_BLOCKS} SELECT p_partkey AS id, block_no, CASE kind WHEN 'h1' THEN 'title' WHEN 'paragraph' THEN 'normal' ELSE kind END AS style, CASE kind WHEN 'h1' THEN 0.3 WHEN 'bullet' THEN 0.0 ELSE 0.2 END::DOUBLE AS space_after,
+CASE kind WHEN 'paragraph' THEN replace(text, '<', '&lt;') WHEN 'bullet' THEN '• ' || text ELSE text END AS text FROM b""",
+)
 def md_block_styles(spark, sf_dir):
     rows = B.styled(B.md_blocks(part_markdown(spark, sf_dir), "p_partkey", "markdown"))
-    return rows.select(F.col("p_partkey").alias("id"), "block_no", "style", "text")
+    return rows.select(F.col("p_partkey").alias("id"), "block_no", "style", "space_after", "text")
 
 
 @query("md_block_stats", "SELECT k AS kind, n * (SELECT count(*) FROM part) AS n FROM (VALUES ('h1', 1), ('bullet', 2), ('paragraph', 1), ('code', 2)) AS v(k, n)")

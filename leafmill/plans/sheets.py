@@ -151,26 +151,39 @@ i AS (SELECT l_partkey AS key, l_partkey % 25 AS q, row_number() OVER (PARTITION
 
 @query("fifo_tables", f"WITH {_FIFO} SELECT key, k::INT AS k, names[least(k, len(names))] AS \"table\" FROM i JOIN q USING (q)")
 def fifo_tables(spark, sf_dir):
-    queued = pairs.queues(load(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", "s_name")
-    items = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    queued = queued.select(F.col("s_nationkey").alias("q"), "queue")
-    from pyspark.sql import Window
+    queued = pairs.queues(load(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey", "s_name").withColumnRenamed("s_nationkey", "q")
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    items = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_partkey") % 25).alias("q"), *order)
+    return pairs.fifo(items, queued, ["key", "q"], order, ["q"]).select("key", "k", F.col("value").alias("table"))
 
-    k = F.row_number().over(Window.partitionBy("key").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"))
-    rows = items.withColumn("k", k).join(queued, F.col("key") % 25 == F.col("q"))
-    return rows.select("key", "k", F.element_at("queue", F.least("k", F.size("queue"))).alias("table"))
 
+_IMAGES = """i AS (SELECT p_size AS doc_id, p_partkey AS part_no, sha256(p_brand) AS sha256, 'image' || (p_partkey % 4) AS base FROM part),
+f AS (SELECT doc_id, base, min(part_no) AS first FROM i GROUP BY 1, 2), w AS (SELECT i.doc_id, i.base, i.sha256 FROM i JOIN f ON f.doc_id = i.doc_id AND f.base = i.base AND f.first = i.part_no),
+a AS (SELECT i.doc_id, i.part_no, i.sha256, i.base || CASE WHEN i.sha256 = w.sha256 THEN '' ELSE '_' || i.sha256[:8] END || '.png' AS name FROM i JOIN w ON w.doc_id = i.doc_id AND w.base = i.base)"""
 
-@query(
-    "asset_names",
-    """WITH i AS (SELECT p_size AS doc_id, p_partkey AS part_no, sha256(p_brand) AS sha256, 'image' || (p_partkey % 4) AS base FROM part),
-f AS (SELECT doc_id, base, min(part_no) AS first FROM i GROUP BY 1, 2), w AS (SELECT i.doc_id, i.base, i.sha256 FROM i JOIN f ON f.doc_id = i.doc_id AND f.base = i.base AND f.first = i.part_no)
-SELECT i.doc_id, i.part_no, i.base || CASE WHEN i.sha256 = w.sha256 THEN '' ELSE '_' || i.sha256[:8] END || '.png' AS name FROM i JOIN w ON w.doc_id = i.doc_id AND w.base = i.base""",
-)
-def asset_names(spark, sf_dir):
+
+def _named(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     images = part.select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("part_no"), F.sha2("p_brand", 256).alias("sha256"), F.concat(F.lit("image"), (F.col("p_partkey") % 4).cast("string")).alias("base"), F.lit(".png").alias("ext"))
-    return pairs.asset_names(images).drop("sha256")
+    return pairs.asset_names(images)
+
+
+@query("first_assets", f"WITH {_IMAGES} SELECT doc_id, sha256, arg_min(name, part_no) AS asset FROM a GROUP BY 1, 2")
+def first_assets(spark, sf_dir):
+    """Of equal images of a document, the first one's name stands for all."""
+    return pairs.first_asset(_named(spark, sf_dir))
+
+
+@query("stem_collisions", "SELECT p_type AS stem, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
+def stem_collisions(spark, sf_dir):
+    from leafmill.operators import batch
+
+    return batch.collisions(load(spark, sf_dir, "part").select(F.col("p_type").alias("stem"), "p_partkey"), "stem", "p_partkey")
+
+
+@query("asset_names", f"WITH {_IMAGES} SELECT doc_id, part_no, name FROM a")
+def asset_names(spark, sf_dir):
+    return _named(spark, sf_dir).drop("sha256")
 
 
 def _placed(spark, sf_dir):

@@ -25,8 +25,13 @@ MAIN = "word/document.xml"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """*.docx and *.DOCX of a folder, not of folders in it, as (path, modificationTime, length, content), each once."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,DOCX}").load(path).dropDuplicates(["path"])
+    """*.docx and *.DOCX of a folder, not of folders in it, as (path, modificationTime, length, content), each once. No content is shuffled."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,DOCX}").load(path)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of the same files, sorted by path; their contents aren't read."""
+    return scan(spark, path).select("path", "modificationTime", "length").orderBy("path")
 
 
 @dataclass
@@ -404,7 +409,7 @@ def convert(path: str, content: bytes, compat: bool = True) -> tuple[str, str, l
             asset_of[digest] = f"assets/{file}"
         html = html.replace(f'"{key}"', f'"{asset_of[digest]}"')
     levels = {name: level for _, name, style, text in package.bookmarks if (level := heading_level(style, text))}
-    md = body_markdown(html, levels, compat)
+    md = H.body_markdown(html, levels, compat)
     for mark, table in spliced.items():
         md = md.replace(mark, f"\n\n{table}\n\n")
     md = re.sub(r"\n+\*{0,2}点击图片可查看完整电子表格\*{0,2}\s*\n", "\n", md)
@@ -417,25 +422,6 @@ def convert(path: str, content: bytes, compat: bool = True) -> tuple[str, str, l
     return stem_of(path), md, list(assets.items())
 
 
-_HEADING = [(re.compile(f"(?s)<h{n}[^>]*>(.*?)</h{n}>"), f"{'#' * n} \\1\n\n") for n in range(1, 7)]
-_MARKS = [(re.compile(f"(?s)<{t}>(.*?)</{t}>"), f"{m}\\1{m}") for t, m in (("strong", "**"), ("b", "**"), ("em", "*"), ("i", "*"))]
-_IMAGE = re.compile(rf"(?i)<img(?!\w)[^>]*(?<!\w)src\s*=\s*{H.VALUE}[^>]*>")
-_LINK = re.compile(rf"(?is)<a(?!\w)[^>]*(?<!\w)href\s*=\s*{H.VALUE}[^>]*>(.*?)</a>")
-
-
-def body_markdown(html: str, levels: dict[str, int] | None = None, compat: bool = True) -> str:
-    """The same steps as functions.html.html_to_markdown, for one text inside a worker."""
-    html = H.footnotes_text(html)
-    for pattern, out in _HEADING:
-        html = pattern.sub(out, html)
-    html = H.anchored_text(html, levels or {})
-    for pattern, out in _MARKS:
-        html = pattern.sub(out, html)
-    html = _IMAGE.sub(lambda m: f"![]({m[1] or m[2] or m[3] or ''})\n\n", html)
-    html = _LINK.sub(lambda m: f"[{m[4]}]({m[1] or m[2] or m[3] or ''})", html)
-    return H.rest_text(re.sub(r"<br\s*/?>", "\n", html), compat)
-
-
 RESULT = "path string, stem string, markdown string, assets array<struct<name: string, content: binary>>, error string"
 
 

@@ -100,14 +100,23 @@ def supplier_document(key: int, name: str, nation: int, balance: float) -> bytes
     return document(body, rels, parts)
 
 
-def supplier_files(suppliers: DataFrame, broken: bool = False) -> DataFrame:
-    """(path, content) of a document for each supplier; with ``broken`` every fifth is no archive, and every seventh of the others one without a document."""
+def asset_document(key: int) -> bytes:
+    """Pictures: one outside the media folder, one that two parts hold, and two parts of one base name."""
+    picture = "".join(paragraph(f'<w:r><w:pict><v:shape><v:imagedata r:id="rId{n}"/></v:shape></w:pict></w:r>') for n in (1, 3, 4))
+    rels = [("rId1", "image", "other/far.png"), ("rId2", "image", "media/a.png"), ("rId3", "image", "media/b.png"), ("rId4", "image", "media/a.jpeg")]
+    same, other = PNG + f"same{key}".encode(), PNG + f"other{key}".encode()
+    return document(picture, rels, {"word/other/far.png": PNG + f"far{key}".encode(), "word/media/a.png": same, "word/media/b.png": same, "word/media/a.jpeg": other})
+
+
+def supplier_files(suppliers: DataFrame, broken: bool = False, assets: bool = False) -> DataFrame:
+    """(path, content) of a document for each supplier; with ``broken`` every fifth is no archive, and every seventh of the others one without a document.
+    With ``assets`` they hold pictures only."""
 
     def make(frames):
         for pdf in frames:
             rows = []
             for key, name, nation, balance in zip(pdf["s_suppkey"], pdf["s_name"], pdf["s_nationkey"], pdf["s_acctbal"], strict=True):
-                data = supplier_document(int(key), name, int(nation), float(balance))
+                data = asset_document(int(key)) if assets else supplier_document(int(key), name, int(nation), float(balance))
                 if broken and key % 5 == 0:
                     data = b"no archive"
                 elif broken and key % 7 == 0:

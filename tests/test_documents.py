@@ -85,7 +85,12 @@ def test_html(spark):
 
 def test_blocks():
     text = "Title\n=====\n\n1. one\n   more\n2. two\n\n> quote\n\n| a | b |\n|---|:-:|\n| **c** | d\\|e |\n\n~~~\ncode *x*\n~~~\n***\n![](p.png)\n\n[t](u) `k`"
-    assert B.blocks(text) == [("h1", "Title"), ("bullet", "one\nmore"), ("bullet", "two"), ("paragraph", "quote"), ("code", "a | b\nc | d|e"), ("code", "code *x*"), ("paragraph", "t k")]
+    assert B.blocks(text) == [("h1", "Title"), ("bullet", "one\nmore"), ("bullet", "two"), ("paragraph", "quote"), ("code", "| a | b |\n| c | d|e |"), ("code", "code *x*"), ("paragraph", "t k")]
+    assert B.blocks("- a\n    - b\n- c") == [("bullet", "b"), ("bullet", "c")]  # an item loses its text to a list in it
+    assert B.blocks("- a\n- b\n\n- c\n- d") == [("bullet", "a"), ("paragraph", "b"), ("paragraph", "c"), ("bullet", "d")]
+    assert B.blocks("1. a\n\n    more\n\ntext\n- no list") == [("paragraph", "a"), ("paragraph", "more"), ("paragraph", "text\n- no list")]
+    assert B.blocks("- a\n    - b\n\n- c") == [("paragraph", "a"), ("bullet", "b"), ("paragraph", "c")]
+    assert B.blocks("    code <x>\n\n| a | b |\n|--|--|\n| c |\n\nx\n## H ##\n- i") == [("code", "code <x>"), ("code", "| a | b |\n| c |  |"), ("paragraph", "x"), ("h2", "H"), ("bullet", "i")]
     assert B.blocks(None) == B.blocks("") == B.blocks("\n \n") == [] and B.blocks("A<B") == [("paragraph", "A<B")]
 
 
