@@ -1,4 +1,4 @@
-"""python -m leafmill convert FILE OUT | batch FOLDER OUT [--force] | blocks FILE.md"""
+"""python -m leafmill convert FILE OUT | batch FOLDER OUT [--force] | blocks FILE.md OUT"""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="leafmill", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, inputs in (("convert", ("source", "out")), ("batch", ("source", "out")), ("blocks", ("source",))):
+    for name, inputs in (("convert", ("source", "out")), ("batch", ("source", "out")), ("blocks", ("source", "out"))):
         p = commands.add_parser(name)
         for x in inputs:
             p.add_argument(x)
@@ -38,7 +38,8 @@ def main(args: list[str] | None = None) -> int:
     from leafmill.functions import blocks
 
     texts = spark.read.text(o.source, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markdown"))
-    blocks.styled(blocks.md_blocks(texts, "path", "markdown")).orderBy("path", "block_no").show(1000, truncate=100)
+    blocks.styled(blocks.md_blocks(texts, "path", "markdown")).write.mode("overwrite").parquet(o.out)
+    print(o.out)
     return 0
 
 

@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 
 
 def write_tables(converted: DataFrame, out: str, mode: str = "append") -> None:
-    """``converted`` (path, stem, markdown, assets, error) as the tables documents, assets and rejects under ``out``."""
+    """``converted`` (path, stem, markdown, assets, error, rejects) as the tables documents, assets and rejects under ``out``.
+
+    A reject is a file (``part`` null), or a workbook in a file that was converted all the same.
+    """
     good = converted.where("error is null")
     good.select("path", "stem", "markdown").write.mode(mode).parquet(f"{out}/documents")
     good.select("path", "stem", F.explode("assets").alias("a")).select("path", "stem", "a.*").write.mode(mode).parquet(f"{out}/assets")
-    converted.where("error is not null").select("path", "stem", "error").write.mode(mode).parquet(f"{out}/rejects")
+    none = F.struct(F.lit(None).cast("string").alias("part"), F.col("error"))
+    rejects = converted.select("path", "stem", F.explode(F.when(F.col("error").isNotNull(), F.array(none)).otherwise(F.col("rejects"))).alias("r"))
+    rejects.select("path", "stem", "r.*").write.mode(mode).parquet(f"{out}/rejects")
 
 
 def write_folders(converted: DataFrame, out: str, subfolder: bool = True) -> DataFrame:

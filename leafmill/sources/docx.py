@@ -48,9 +48,10 @@ class Package:
     names: list[str] = field(default_factory=list)
 
 
-def open_package(content: bytes) -> zipfile.ZipFile:
+def open_package(content: bytes, limits: X.Limits = X.Limits()) -> zipfile.ZipFile:
     try:
         zf = zipfile.ZipFile(io.BytesIO(content))
+        zf.limits = limits
     except zipfile.BadZipFile as e:
         raise X.BadPackage("not a ZIP file") from e
     if MAIN not in zf.namelist():
@@ -270,9 +271,9 @@ class Body:
         return out
 
 
-def read_package(content: bytes) -> Package:
+def read_package(content: bytes, limits: X.Limits = X.Limits()) -> Package:
     """Raises BadPackage, or the XML parser's error, if the package has no readable document."""
-    with open_package(content) as zf:
+    with open_package(content, limits) as zf:
         rels, root = read_relationships(zf), parse_xml(read_part(zf, MAIN))
         body = Body(zf, root, rels)
         return Package(rels, read_objects(root), read_bookmarks(root), read_boxes(root), read_formulas(root), body.html, body.pictures, zf.namelist())
@@ -375,12 +376,25 @@ def pair_up(rels: dict[str, tuple[str, str]], objects) -> list[tuple[str, str]]:
     return out
 
 
-def convert(path: str, content: bytes, compat: bool = True) -> tuple[str, str, list[tuple[str, bytes]]]:
-    """(stem, markdown, assets) of one package."""
-    package = read_package(content)
-    with open_package(content) as zf:
+def workbook_tables(held: dict[str, bytes], limits: X.Limits) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Each workbook's table; (part, error) of those that can't be read, whose preview picture stays in place."""
+    tables, rejects = {}, []
+    for name, data in held.items():
+        if name.startswith("word/embeddings/"):
+            try:
+                if table := X.workbook_markdown(data, limits):
+                    tables[name] = table
+            except Exception as e:
+                rejects.append((name, f"{type(e).__name__}: {e}"))
+    return tables, rejects
+
+
+def convert(path: str, content: bytes, compat: bool = True, limits: X.Limits = X.Limits()) -> tuple[str, str, list[tuple[str, bytes]], list[tuple[str, str]]]:
+    """(stem, markdown, assets, parts that couldn't be read) of one package."""
+    package = read_package(content, limits)
+    with open_package(content, limits) as zf:
         held = {n: read_part(zf, n) for n in zf.namelist() if n.startswith("word/media/") or n.startswith("word/embeddings/") and n.lower().endswith(".xlsx")}
-        tables = {n: t for n, d in held.items() if n.startswith("word/embeddings/") and (t := X.workbook_markdown(d))}
+        tables, rejects = workbook_tables(held, limits)
         queue: dict[str, list[str]] = {}
         previews = set()
         for book, preview in pair_up(package.rels, package.objects):
@@ -419,23 +433,24 @@ def convert(path: str, content: bytes, compat: bool = True) -> tuple[str, str, l
     ):
         if rest := [x for x in items if missing(x, md)]:
             md += f"\n\n---\n\n> **\\[{head}\\]**\n\n" + "".join(row.format(x) for x in rest)
-    return stem_of(path), md, list(assets.items())
+    return stem_of(path), md, list(assets.items()), rejects
 
 
-RESULT = "path string, stem string, markdown string, assets array<struct<name: string, content: binary>>, error string"
+RESULT = "path string, stem string, markdown string, assets array<struct<name: string, content: binary>>, error string, rejects array<struct<part: string, error: string>>"
 
 
-def converted(files: DataFrame, compat: bool = True) -> DataFrame:
-    """A row for each file: stem, markdown and assets, or the error that it met. A file needs no other file, so nothing is shuffled."""
+def converted(files: DataFrame, compat: bool = True, limits: X.Limits = X.Limits()) -> DataFrame:
+    """A row for each file: stem, markdown and assets, or the error that it met; ``rejects`` are workbooks in it that couldn't be read.
+    A file needs no other file, so nothing is shuffled."""
 
     def run(frames):
         for pdf in frames:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    stem, md, assets = convert(path, content, compat)
-                    row = (path, stem, md, [{"name": n, "content": d} for n, d in assets], None)
+                    stem, md, assets, rejects = convert(path, content, compat, limits)
+                    row = (path, stem, md, [{"name": n, "content": d} for n, d in assets], None, [{"part": p, "error": e} for p, e in rejects])
                 except Exception as e:
-                    row = (path, stem_of(path), None, [], f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=["path", "stem", "markdown", "assets", "error"])
+                    row = (path, stem_of(path), None, [], f"{type(e).__name__}: {e}", [])
+                yield pd.DataFrame([row], columns=["path", "stem", "markdown", "assets", "error", "rejects"])
 
     return files.select("path", "content").mapInPandas(run, RESULT)

@@ -8,12 +8,19 @@ import posixpath
 import re
 import zipfile
 from dataclasses import dataclass, field
+from typing import NamedTuple
 from xml.etree import ElementTree as ET
 
 from leafmill.functions import markdown as M
 
-#: Uncompressed bytes of a part, and its ratio to the compressed ones, beyond which a package is refused.
-MAX_PART, MAX_RATIO = 512 << 20, 500
+
+class Limits(NamedTuple):
+    """Uncompressed bytes of a part, and its ratio to the compressed ones (in parts of over 1 MB), beyond which a package is refused."""
+
+    part: int = 512 << 20
+    ratio: float = 500
+
+
 DATE_FORMATS = {*range(14, 23), 27, 30, 36, 45, 46, 47, 50, 57}
 
 
@@ -22,8 +29,8 @@ class BadPackage(ValueError):
 
 
 def read_part(zf: zipfile.ZipFile, name: str) -> bytes:
-    info = zf.getinfo(name)
-    if info.file_size > MAX_PART or info.file_size > 1 << 20 and info.file_size > MAX_RATIO * max(info.compress_size, 1):
+    info, limits = zf.getinfo(name), getattr(zf, "limits", Limits())
+    if info.file_size > limits.part or info.file_size > 1 << 20 and info.file_size > limits.ratio * max(info.compress_size, 1):
         raise BadPackage(f"part too large: {name}")
     return zf.read(info)
 
@@ -94,9 +101,10 @@ def _date_styles(zf: zipfile.ZipFile) -> set[int]:
     return {i for i, xf in enumerate(children(child(root, "cellXfs"), "xf")) if int(attribute(xf, "numFmtId", "0")) in dates}
 
 
-def read_workbook(data: bytes) -> list[Sheet]:
+def read_workbook(data: bytes, limits: Limits = Limits()) -> list[Sheet]:
     """All worksheets, in order. Declared dimensions and formulas are ignored."""
     with zipfile.ZipFile(io.BytesIO(data)) as zf:
+        zf.limits = limits
         names = set(zf.namelist())
         book = parse_xml(read_part(zf, "xl/workbook.xml"))
         rels = {attribute(r, "Id"): (attribute(r, "Type"), attribute(r, "Target")) for r in parse_xml(read_part(zf, "xl/_rels/workbook.xml.rels"))}
@@ -151,23 +159,20 @@ def _grid(sheet: Sheet, values: dict[tuple[int, int], str]) -> list[list[str]]:
     return [[values.get((r, c), "") for c in cols] for r in rows]
 
 
-def workbook_markdown(data: bytes) -> str | None:
-    """The fullest sheet as a pipe table with its merged ranges expanded; None if the workbook is empty or can't be read."""
-    try:
-        best, most = None, 0
-        for sheet in read_workbook(data):
-            values = {k: M.cell_text(v) for k, v in sheet.cells.items()}
-            score = sum(bool(v.strip()) for v in values.values())
-            if score > most:
-                best, most, kept = sheet, score, values
-        if best is None:
-            return None
-        last = max(r for r, _ in best.cells)
-        for r0, r1, c0, c1, _ in sorted(best.merges):
-            if anchor := kept.get((r0, c0)):
-                kept |= {(r, c): anchor for r in range(r0, min(r1, last) + 1) for c in range(c0, c1 + 1)}
-        grid = _grid(best, kept)
-        note = ", ".join(m[4] for m in sorted(best.merges, key=lambda m: (m[0], m[2])))
-        return (f"> merge_ranges: {note}\n\n" if note else "") + M.pipe_table(grid) + ("\n" if len(grid) == 1 else "")
-    except Exception:  # an unreadable workbook leaves its preview picture in place
+def workbook_markdown(data: bytes, limits: Limits = Limits()) -> str | None:
+    """The fullest sheet as a pipe table with its merged ranges expanded; None if the workbook is empty. Raises if it can't be read."""
+    best, most, kept = None, 0, {}
+    for sheet in read_workbook(data, limits):
+        values = {k: M.cell_text(v) for k, v in sheet.cells.items()}
+        score = sum(bool(v.strip()) for v in values.values())
+        if score > most:
+            best, most, kept = sheet, score, values
+    if best is None:
         return None
+    last = max(r for r, _ in best.cells)
+    for r0, r1, c0, c1, _ in sorted(best.merges):
+        if anchor := kept.get((r0, c0)):
+            kept |= {(r, c): anchor for r in range(r0, min(r1, last) + 1) for c in range(c0, c1 + 1)}
+    grid = _grid(best, kept)
+    note = ", ".join(m[4] for m in sorted(best.merges, key=lambda m: (m[0], m[2])))
+    return (f"> merge_ranges: {note}\n\n" if note else "") + M.pipe_table(grid) + ("\n" if len(grid) == 1 else "")

@@ -99,12 +99,25 @@ def test_sheets(spark):
     assert xlsx.workbook_markdown(samples.workbook([("s", rows, [])])) == "| a | b |\n| --- | --- |\n| c |  |"
     merged = xlsx.workbook_markdown(samples.workbook([("s", [["H", None], [1, True]], ["A1:B1"])]))
     assert merged == "> merge_ranges: A1:B1\n\n| H | H |\n| --- | --- |\n| 1 | True |"
-    assert xlsx.workbook_markdown(b"x") is None and xlsx.workbook_markdown(samples.workbook([("s", [[" "]], [])])) is None
+    assert xlsx.workbook_markdown(samples.workbook([("s", [[" "]], [])])) is None
     cells = spark.createDataFrame([(0, r, c, v) for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)], "s int, r int, c int, v string")
     assert sorted(map(tuple, grid.trim(cells, ["s"]).select("r2", "c2", "v").collect())) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 2, "")]
     assert xlsx.moment_text(45293, False) == "2024-01-02" and xlsx.moment_text(45293.5, False) == "2024-01-02 12:00:00" and xlsx.moment_text(0.25, False) == "06:00:00"
 
 
+def test_limits_and_bad_workbooks(spark):
+    """A workbook beyond the limits, or a broken one, is told and its document converted; a wider limit takes it."""
+    big = samples.workbook([("s", [["a" * 2_000_000]], [])])
+    books = {"word/embeddings/a.xlsx": b"no archive", "word/embeddings/b.xlsx": big}
+    rels = [("rId1", "package", "embeddings/b.xlsx"), ("rId2", "image", "media/p.png")]
+    picture = samples.paragraph('<w:r><w:object><v:shape><v:imagedata r:id="rId2"/></v:shape><o:OLEObject r:id="rId1"/></w:object></w:r>')
+    df = spark.createDataFrame([("file:/a.docx", samples.document(samples.paragraph(samples.run("x")) + picture, rels, books | {"word/media/p.png": samples.PNG}))], "path string, content binary")
+    strict = docx.converted(df).first()
+    assert strict["error"] is None and [r["part"] for r in strict["rejects"]] == ["word/embeddings/a.xlsx", "word/embeddings/b.xlsx"] and "![](assets/p.png)" in strict["markdown"]
+    wide = docx.converted(df, limits=xlsx.Limits(ratio=10_000)).first()
+    assert [r["part"] for r in wide["rejects"]] == ["word/embeddings/a.xlsx"] and "a" * 2_000_000 in wide["markdown"]
+
+
 def test_bad_packages(spark):
     bomb = samples.document("", [], {"word/media/z.png": b"\0" * (3 << 20)})
     entity = samples.packed({"word/document.xml": '<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'})
@@ -121,7 +134,7 @@ def test_queue_of_tables():
     body = "".join(samples.paragraph(picture.format(i, f'<o:OLEObject r:id="{b}"/>' if b else "")) for i, b in (("rId2", "rId1"), ("rId4", "rId3"), ("rId2", ""), ("rId4", "")))
     rels = [("rId1", "package", "embeddings/a.xlsx"), ("rId2", "image", "media/p.png"), ("rId3", "package", "embeddings/b.xlsx"), ("rId4", "image", "media/q.png")]
     parts = {f"word/embeddings/{n}.xlsx": samples.workbook([("s", [[n], ["v"]], [])]) for n in "ab"} | {"word/media/p.png": b"same", "word/media/q.png": b"same"}
-    _, md, assets = docx.convert("x.docx", samples.document(body, rels, parts))
+    _, md, assets, _ = docx.convert("x.docx", samples.document(body, rels, parts))
     assert [x[2] for x in md.split("\n") if x in ("| a |", "| b |")] == ["a", "b", "b", "b"] and assets == []
 
 
