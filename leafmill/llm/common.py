@@ -133,19 +133,45 @@ def forest(a, b) -> list[tuple[int, int]]:
     return out
 
 
+#: Links that one task joins; beyond, stars are formed by all.
+JOINED_LINKS = 500_000
+
+
+def joined_links(frames: Iterator) -> Iterator:
+    """(node, component) of the links (hi, lo) of one task: roots take the least root that a link leads to, until none changes."""
+    import numpy as np
+    import pandas as pd
+
+    links = [pdf.to_numpy(np.int64) for pdf in frames if len(pdf)]
+    if not links:
+        return
+    nodes, ends = np.unique(np.concatenate(links), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (open_ := root[a] != root[b]).any():
+        a, b = a[open_], b[open_]
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pd.DataFrame({"node": nodes, "component": nodes[root]})
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest node reachable from each node of an undirected graph, as rows ``(node, component)``.
 
-    ``edges`` has long columns ``a`` and ``b``. Alternates the large-star and small-star steps (Kiveris et al., 2014) until every
-    node hangs on its component's smallest node: O(log^2 n) rounds, each of joins and aggregations that combine before
-    the shuffle. Nothing but a count goes to the driver. Nodes without an edge don't come out. An empty table gives none.
-    Raises if that isn't reached in ``rounds``.
+    ``edges`` has long columns ``a`` and ``b``. Up to JOINED_LINKS distinct links, one task joins them. Beyond, alternates the
+    large-star and small-star steps (Kiveris et al., 2014) until every node hangs on its component's smallest node: O(log^2 n) rounds,
+    each of joins and aggregations that combine before the shuffle. Nothing but counts goes to the driver. Nodes without an edge don't come
+    out. An empty table gives none. Raises if ``rounds`` aren't enough.
     """
     stars = checkpointed(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
+    if stars.count() <= JOINED_LINKS:
+        return checkpointed(stars.coalesce(1).mapInPandas(joined_links, "node long, component long"))
     for _ in range(rounds):
         # a node that hangs on two nodes, or on one that itself hangs on another
         ends = stars.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(stars.select("lo", F.lit(0), F.lit(1)))

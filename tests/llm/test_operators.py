@@ -101,14 +101,22 @@ def test_simhash_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_components_of_a_long_path_and_a_star(spark):
-    from leafmill.llm.common import components
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_a_long_path_and_a_star(spark, small, monkeypatch):
+    """By stars, and by one task; too few rounds are an error."""
+    from leafmill.llm import common
 
+    monkeypatch.setattr(common, "JOINED_LINKS", small)
+    components = common.components
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 4000), (4000, 5000), (7, 7)]
     random.Random(1).shuffle(edges)
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1200)} | {4000: 4000, 5000: 4000}
     assert found == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    if not small:
+        with pytest.raises(RuntimeError):
+            components(spark.createDataFrame(edges, "a long, b long"), 2)
 
 
 def brute_licences(text):
