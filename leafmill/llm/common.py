@@ -87,7 +87,36 @@ def parts_for(df: DataFrame, mb: float, text: str) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         size = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
-    return max(2 * shuffle_parts(df.sparkSession), math.ceil(size / (mb * 1e6)))
+    return max(shuffle_parts(df.sparkSession), math.ceil(size / (mb * 1e6)))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` is called so."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: Bodies that one group adds at a time.
+FAN = 64
+
+
+def tree_added(rows: DataFrame, add: Callable) -> DataFrame:
+    """``rows`` (part, body), some from each task: one of each part, by ``add`` of a list of bodies. In three levels, so that a group of the first two
+    adds FAN bodies, and the last one of FAN * FAN tasks each."""
+
+    def one(pdf):
+        return pdf.iloc[:1].assign(body=[add(pdf["body"].tolist())])
+
+    schema = "part int, lane long, body binary"
+    rows = rows.select("part", F.spark_partition_id().cast("long").alias("lane"), "body")
+    for span in (FAN, FAN, None):
+        lane = F.floor(F.col("lane") / span) if span else F.lit(0)
+        rows = rows.withColumn("lane", lane.cast("long")).groupBy("part", "lane").applyInPandas(one, schema)
+    return rows.select("part", "body")
 
 
 #: Rows of a narrow side (a few numbers each) that are sent to every task at most; beyond, both sides are shuffled.

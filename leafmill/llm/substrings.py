@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, parts_for, trim
+from leafmill.llm.common import parts_for, trim
 
 #: Bytes hashed at a time; arrays of this many 64-bit numbers stay in a core's cache.
 PIECE = 1 << 17
@@ -340,8 +340,9 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
                 one, low, of = _entries(key[mine], self.rows[mine], ids[self.text[mine]])
                 self.of[mine] = of + before
                 edges = _bounds(key[mine][one] >> np.uint64(24), parts)
-                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-                    self.entries.append((parts * (1 + self.blk % lanes) + i if single else i, np.arange(edges[i], edges[i + 1]) + before))
+                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():  # in the order of the texts, so that least ids don't fall
+                    some = np.arange(edges[i], edges[i + 1])
+                    self.entries.append((parts * (1 + self.blk % lanes) + i if single else i, some[np.argsort(one[some])] + before))
                 items.append(mine[one])
                 least.append(low)
                 before += len(one)
@@ -351,41 +352,52 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         if not len(pdf):
             return pd.DataFrame({"bucket": [], "blk": [], "body": []})
         b = Block(pdf, list(zip(state["bucket"], state["body"], strict=True)))
-        rows = [(bucket, b.blk, _pack(b.key[b.item[own]], b.least[own], b.rows[b.item[own]])) for bucket, own in b.entries]
+        rows = [(bucket, b.blk, _pack(np.diff(b.least[own], prepend=0), b.rows[b.item[own]])) for bucket, own in b.entries]
         return pd.DataFrame(rows, columns=["bucket", "blk", "body"])
 
-    def opened(bodies):
-        """Keys, least ids and rows of what blocks sent, and how many each did."""
+    def opened(bodies, single: bool):
+        """Least ids, rows and keys of what blocks sent, and how many each did. A key is a hash of the anchor, or of a single string."""
         found = []
         for packed in bodies:
             data = _unpack(packed)
-            n = len(data) // (16 + 8 * width)
-            found.append((np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<u8", n * width, 16 * n).reshape(n, width)))
-        return *(np.concatenate(x) for x in zip(*found, strict=True)), [len(x[0]) for x in found]
+            n = len(data) // (8 + 8 * width)
+            found.append((np.cumsum(np.frombuffer(data, "<i8", n)), np.frombuffer(data, "<u8", n * width, 8 * n).reshape(n, width)))
+        least, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+        keyed = rows
+        if not single:
+            data = rows.view(np.uint8)
+            keyed = np.zeros((len(rows), -(-gram // 8) * 8), np.uint8)
+            keyed[:, :gram] = np.take_along_axis(data, data[:, [-2]].astype(np.int64) + np.arange(gram), axis=1)
+            keyed = keyed.view(np.uint64)
+        key = np.zeros(len(rows), np.uint64)
+        for w in keyed.T:
+            key = (key ^ w) * np.uint64(MULT)
+            key ^= key >> np.uint64(31)
+        return least, rows, key, [len(x[0]) for x in found]
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each block's entries: which of their strings a smaller id than the entry's own has.
-
-        Strings of hot anchors meet in lanes of blocks first; those that have a lane's smallest id go on.
-        """
+        """For each block's entries: which of their strings a smaller id than the entry's own has; of hot anchors, in the lane's blocks."""
         bucket = int(pdf["bucket"].iat[0])
-        key, least, rows, sizes = opened(pdf["body"])
+        least, rows, key, sizes = opened(pdf["body"], bucket >= parts)
         one, smallest, of = _entries(key, rows, least)
-        later = least > smallest[of]
-        ends, blks = np.cumsum(sizes), pdf["blk"].to_numpy()
-        out = []
+        mask = _masks(key[one], rows[one], smallest, length, gram) if bucket < parts else np.zeros(len(one), np.uint32)
+        marks = np.where(least > smallest[of], FULL, mask[of]).astype("<u4")
+        ends = np.cumsum(sizes)
+        return pd.DataFrame({"kind": 1, "bucket": bucket, "blk": pdf["blk"], "body": [_pack(marks[e - n : e]) for n, e in zip(sizes, ends, strict=True)]})
+
+    def lane(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Strings of hot anchors meet in lanes of blocks first: those that have a lane's smallest id go on, with their block, bucket and number there."""
+        bucket = int(pdf["bucket"].iat[0])
         if bucket < parts:
-            mask = _masks(key[one], rows[one], smallest, length, gram)
-            marks = np.where(later, FULL, mask[of]).astype("<u4")
-        else:
-            marks = np.where(later, FULL, 0).astype("<u4")
-            first = np.flatnonzero(~later)
-            n = len(first)
-            block = np.searchsorted(ends, first, "right")
-            where = np.stack([blks[block], np.full(n, bucket), first - (ends - sizes)[block]]).astype("<i4") if n else np.zeros((3, 0), "<i4")
-            out = [(2, bucket % parts, -1, _pack(key[first], least[first], rows[first]) + where.tobytes() + n.to_bytes(8, "little"))]
-        out += [(1, bucket, int(b), _pack(marks[e - n : e])) for b, n, e in zip(blks, sizes, ends, strict=True)]
-        return pd.DataFrame(out, columns=["kind", "bucket", "blk", "body"])
+            return pd.DataFrame({"kind": [], "bucket": [], "blk": [], "body": []})
+        least, rows, key, sizes = opened(pdf["body"], True)
+        _, smallest, of = _entries(key, rows, least)
+        first = np.flatnonzero(least == smallest[of])
+        ends = np.cumsum(sizes)
+        block = np.searchsorted(ends, first, "right")
+        where = np.stack([pdf["blk"].to_numpy()[block], np.full(len(first), bucket), first - (ends - sizes)[block]]).astype("<i4")
+        body = _pack(np.diff(least[first], prepend=0), rows[first]) + where.tobytes() + len(first).to_bytes(8, "little")
+        return pd.DataFrame([(2, bucket % parts, -1, body)], columns=["kind", "bucket", "blk", "body"])
 
     def finals(pdf: pd.DataFrame) -> pd.DataFrame:
         """The entries that have the smallest id of a lane, but not of all: their numbers, for each block and bucket."""
@@ -394,7 +406,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
             n = int.from_bytes(body[-8:], "little")
             heads.append(body[: len(body) - 8 - 12 * n])
             tails.append(np.frombuffer(body, "<i4", 3 * n, len(body) - 8 - 12 * n).reshape(3, n))
-        key, least, rows, _ = opened(heads)
+        least, rows, key, _ = opened(heads, True)
         _, smallest, of = _entries(key, rows, least)
         gone = np.concatenate(tails, axis=1)[:, least > smallest[of]]
         gone = gone[:, np.lexsort((gone[1], gone[0]))]
@@ -453,9 +465,9 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     flags = blocks.groupBy("blk").applyInPandas(lean(pass_one), packed).groupBy("bucket").applyInPandas(lean(meet), marked)
     texts = blocks.groupBy("blk")
     sent = texts.cogroup(flags.groupBy("blk")).applyInPandas(lean(pass_two), packed)
-    judged = checkpointed(sent.groupBy("bucket").applyInPandas(lean(judge), marked))
-    late = judged.where("kind = 2").groupBy("bucket").applyInPandas(lean(finals), marked)
-    state = flags.unionAll(judged.where("kind = 1")).unionAll(late)
+    marks = sent.groupBy("bucket").applyInPandas(lean(judge), marked)
+    late = sent.groupBy("bucket").applyInPandas(lean(lane), marked).groupBy("bucket").applyInPandas(lean(finals), marked)
+    state = flags.unionAll(marks).unionAll(late)
     kind = blocks.schema["other"].dataType.simpleString()
     cut = texts.cogroup(state.groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept binary, other {kind}")
     return cut.withColumn("id", F.nullif("id", F.lit(NO_ID)))
