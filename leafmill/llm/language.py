@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, tree_added
 
 TRIGRAMS = 1 << 13
 #: Rows that must declare a language for it to have a model; in a table of any size.
@@ -57,11 +57,11 @@ def models(rows: DataFrame, names: list[str], text: str, declared: str) -> np.nd
         for k, part in enumerate(np.split(table, slices, axis=1)):
             yield pd.DataFrame({"part": [k], "body": [zlib.compress(part.astype("<i8").tobytes(), 1)]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [pdf["part"].iat[0]], "body": [sum(np.frombuffer(zlib.decompress(b), "<i8") for b in pdf["body"]).tobytes()]})
+    def add(bodies: list[bytes]) -> bytes:
+        return zlib.compress(sum(np.frombuffer(zlib.decompress(b), "<i8") for b in bodies).astype("<i8").tobytes(), 1)
 
-    found = rows.select(text, declared).mapInPandas(count, "part int, body binary").groupBy("part").applyInPandas(add, "part int, body binary").collect()
-    parts = {r["part"]: np.frombuffer(r["body"], "<i8").reshape(len(names), -1) for r in found}
+    found = tree_added(rows.select(text, declared).mapInPandas(count, "part int, body binary"), add).collect()
+    parts = {r["part"]: np.frombuffer(zlib.decompress(r["body"]), "<i8").reshape(len(names), -1) for r in found}
     table = np.concatenate([parts[k] for k in range(slices)], axis=1) if parts else np.zeros((len(names), TRIGRAMS))
     table = table + 0.5
     return np.log(table / table.sum(axis=1, keepdims=True))
@@ -73,12 +73,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def identified(rows: DataFrame, text: str = "text", declared: str = "declared", host: str = "host", suffix: str = "suffix", carry: tuple[str, ...] = ("id",)) -> DataFrame:
-    """``carry``, declared, lang, confidence, kept for each row. ``kept``: the text has letters and a language has half the probability.
+    """``carry`` (but for columns called as the following), declared, lang, confidence, kept for each row. ``kept``: the text has letters and a language has half the probability.
 
     Null texts are empty; empty texts have no evidence of their own, get the language that the rest says, and aren't kept. Null or
     unknown declarations, hosts and suffixes say nothing. With no declared language in the table every row is "und". Rows
-    come out as they went in; a host may hold any share of them.
+    come out as they went in, texts of any length whole; a host may hold any share of them.
     """
+    carry = tuple(c for c in carry if c not in (declared, "lang", "confidence", "kept"))
     names = languages(rows, declared)
     if not names:
         return rows.select(*carry, declared, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, ending
+from leafmill.llm.common import checkpointed, ending, tree_added
 
 BUCKETS, DIM, NONZERO = 4096, 48, 4
 SHAPES, SHAPE_DIM = 256, 32
@@ -63,8 +63,12 @@ def _learn(token: str) -> int:
 
 def numbers(text: str | None) -> np.ndarray:
     """Of each token: bucket * SHAPES + shape."""
-    get = _known.get
-    return np.fromiter(((n if (n := get(t)) is not None else _learn(t)) for t in TOKEN.findall(text or "")), np.int64)
+    tokens = TOKEN.findall(text or "")
+    try:
+        return np.fromiter(map(_known.__getitem__, tokens), np.int64, len(tokens))
+    except KeyError:
+        get = _known.get
+        return np.fromiter(((n if (n := get(t)) is not None else _learn(t)) for t in tokens), np.int64, len(tokens))
 
 
 def _index() -> tuple[np.ndarray, np.ndarray]:
@@ -109,14 +113,14 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         parts = np.split(np.rint(context_vectors(pairs))[:BUCKETS].astype("<i8"), slices)
         yield pd.DataFrame({"part": np.arange(slices), "body": [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in pdf["body"])
-        return pd.DataFrame({"part": [pdf["part"].iat[0]], "body": [total.astype("<i8").tobytes()]})
+    def add(bodies: list[bytes]) -> bytes:
+        return zlib.compress(sum(np.frombuffer(zlib.decompress(b), "<i8") for b in bodies).astype("<i8").tobytes(), 1)
 
-    rows = docs.select(text).mapInPandas(lambda frames: ending(count(frames), forget), "part int, body binary").groupBy("part").applyInPandas(add, "part int, body binary").collect()
+    counted = docs.select(text).mapInPandas(lambda frames: ending(count(frames), forget), "part int, body binary")
+    rows = tree_added(counted, add).collect()
     table = np.zeros((BUCKETS, DIM))
     for r in rows:
-        table.reshape(slices, -1, DIM)[r["part"]] = np.frombuffer(r["body"], "<i8").reshape(-1, DIM)
+        table.reshape(slices, -1, DIM)[r["part"]] = np.frombuffer(zlib.decompress(r["body"]), "<i8").reshape(-1, DIM)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
