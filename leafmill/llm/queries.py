@@ -83,12 +83,12 @@ def _licence_sql() -> str:
         f"SELECT r, i - 1 AS place, '{label}' AS label FROM w, unnest(range(1, len(ws) + 1)) AS u(i) WHERE " + " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in licences.BASE.items()
     )
     own = []
-    for label, (words, _) in licences.TEMPLATES.items():
-        words, need = words.split(), licences.mandatory(label)
+    for n, (label, words, _) in enumerate(licences.TEMPLATES):
+        words, need = words.split(), licences.mandatory(n)
         share = " + ".join(f"(CASE WHEN i + {j} >= 1 AND ws[i + {j}] = '{x}' THEN 1 ELSE 0 END)" for j, x in enumerate(words))
         anchor = need[0][1]
         must = " AND ".join(f"ws[k + {j - anchor}] = '{x}'" for x, j in need)
-        own.append(f"SELECT r, '{'mit' if label == 'mit-text' else label}' AS label, ({share}) / {float(len(words))} AS share FROM (SELECT r, ws, k - {anchor} AS i FROM w, unnest(range(1, len(ws) + 1)) AS u(k) WHERE {must})")
+        own.append(f"SELECT r, '{label}' AS label, ({share}) / {float(len(words))} AS share FROM (SELECT r, ws, k - {anchor} AS i FROM w, unnest(range(1, len(ws) + 1)) AS u(k) WHERE {must})")
     return f"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,
