@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, ending, keep_oldest
+from leafmill.llm.common import checkpointed, ending, keep_oldest, unused
 
 CACHE, APART = 400_000, "<|startoftext|>"
 
@@ -171,21 +171,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
 def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (column ``length``, from 1 to ``capacity``) with ``sequence_id`` and ``offset``, by best-fit decreasing.
 
-    Rows come out as they went in, repeated ones too; which of equal lengths goes where is not told. Empty tables give none.
+    Rows come out as they went in, repeated ones too; which of equal lengths goes where is not told. Columns called as the two new ones
+    go, others stay. Empty tables give none.
     """
-    pieces = checkpointed(pieces.withColumn("_part", F.spark_partition_id()))
+    pieces = pieces.select(*(c for c in pieces.columns if c not in ("sequence_id", "offset")))
+    part, rank_, before_ = unused(pieces, "_part", "_rank", "_before")
+    pieces = checkpointed(pieces.withColumn(part, F.spark_partition_id()))
 
     def ranked(frames):
         """Ranks among the rows of a length that this task sees."""
         seen = np.zeros(capacity + 1, np.int64)
         for pdf in frames:
-            pdf["_rank"] = pdf.groupby("length").cumcount().to_numpy() + seen[pdf["length"].to_numpy()]
+            pdf[rank_] = pdf.groupby("length").cumcount().to_numpy() + seen[pdf["length"].to_numpy()]
             seen += np.bincount(pdf["length"], minlength=capacity + 1)
             yield pdf
 
-    local = checkpointed(pieces.mapInPandas(ranked, f"{_ddl(pieces)}, _rank long"))
-    by_part = local.groupBy("_part", "length").agg(F.max("_rank").alias("m")).withColumn("n", F.col("m") + 1)
-    before = by_part.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")).select("_part", "length", "_before")
+    local = checkpointed(pieces.mapInPandas(ranked, f"{_ddl(pieces)}, `{rank_}` long"))
+    by_part = local.groupBy(part, "length").agg(F.max(rank_).alias("m")).withColumn("n", F.col("m") + 1)
+    before = by_part.withColumn(before_, F.sum("n").over(Window.partitionBy("length").orderBy(part)) - F.col("n")).select(part, "length", before_)
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = {k: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for k, rows in best_fit_decreasing(counts, capacity).items()}
     shared = pieces.sparkSession.sparkContext.broadcast(plan)  # bounded by the capacity, not by the rows
@@ -193,17 +196,17 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     def placed(frames):
         plan = shared.value
         for pdf in frames:
-            length, rank = pdf["length"].to_numpy(), (pdf["_rank"] + pdf["_before"]).to_numpy()
+            length, rank = pdf["length"].to_numpy(), (pdf[rank_] + pdf[before_]).to_numpy()
             bins, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
                 ranks, first, off = plan[int(n)]
                 k = np.searchsorted(ranks, rank[at], "right") - 1
                 bins[at], offset[at] = first[k] + rank[at] - ranks[k], off[k]
-            yield pdf.drop(columns=["_part", "_rank", "_before"]).assign(sequence_id=bins, offset=offset)
+            yield pdf.drop(columns=[part, rank_, before_]).assign(sequence_id=bins, offset=offset)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_part")
-    return local.join(before, ["_part", "length"]).select(*local.columns, "_before").mapInPandas(placed, f"{kept}, sequence_id long, offset long")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != part)
+    return local.join(before, [part, "length"]).select(*local.columns, before_).mapInPandas(placed, f"{kept}, sequence_id long, offset long")
 
 
 def _ddl(df: DataFrame) -> str:

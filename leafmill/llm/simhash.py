@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components, ending, forest, grouped, joined
+from leafmill.llm.common import checkpointed, components, ending, forest, grouped, joined, unused
 
 BITS = 64
 #: Hashes whose bits are counted at a time.
@@ -427,12 +427,13 @@ def node_of(text: str) -> Column:
 def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, as ``same_texts`` tells, in whole and with all columns."""
     told = checkpointed(same_texts(docs, similarity, shingle, id, text))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))).withColumn("__node", node_of(text))
-    key = [F.coalesce("id", F.lit(NO_ID)).alias("__id"), F.col("node").alias("__node")]
-    kept = joined(keyed, told.where("not keeper").select(*key).distinct(), ["__id", "__node"], "left_anti")
+    a, b = unused(docs, "__id", "__node")
+    keyed = docs.withColumn(a, F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))).withColumn(b, node_of(text))
+    key = [F.coalesce("id", F.lit(NO_ID)).alias(a), F.col("node").alias(b)]
+    kept = joined(keyed, told.where("not keeper").select(*key).distinct(), [a, b], "left_anti")
     # a row that stands there several times stays once
     again = checkpointed(told.where("keeper").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     if not again.isEmpty():
-        once = joined(kept, again, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
-        kept = joined(kept, again, ["__id", "__node"], "left_anti").unionByName(once)
+        once = joined(kept, again, [a, b], "left_semi").dropDuplicates([a, b])
+        kept = joined(kept, again, [a, b], "left_anti").unionByName(once)
     return kept.select(*docs.columns)

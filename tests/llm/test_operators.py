@@ -125,11 +125,11 @@ def brute_licences(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for p, label in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     names, best = {x for _, x in places}, 0.5 if places else 0.0
-    for label, (template, _) in licences.TEMPLATES.items():
+    for n, (label, template, _) in enumerate(licences.TEMPLATES):
         template = template.split()
         for at in range(-len(template), len(w)):
-            if all(0 <= at + j < len(w) and w[at + j] == x for x, j in licences.mandatory(label)):
-                names.add("mit" if label == "mit-text" else label)
+            if all(0 <= at + j < len(w) and w[at + j] == x for x, j in licences.mandatory(n)):
+                names.add(label)
                 best = max(best, sum(0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(template)) / len(template))
     at = [i for i, _ in places]
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(names)), round(best, 6)
@@ -138,9 +138,13 @@ def brute_licences(text):
 def test_licences_in_long_texts(spark):
     """All licence words but one template's are in the text before it: none may be crowded out."""
     texts = ["You may copy it in any form; all of them are free for use and a person can share. Released under the MIT License."]
-    for template, _ in licences.TEMPLATES.values():
-        others = sorted(set(" ".join(t for t, _ in licences.TEMPLATES.values()).split()) - set(template.split()))
+    every = [t for _, t, _ in licences.TEMPLATES]
+    for template in every:
+        others = sorted(set(" ".join(every).split()) - set(template.split()))
         texts.append(" ".join(others * 3) + ". " + template)
+        cut = template.split()
+        texts.append(" ".join(cut[:3] + ["other"] + cut[4:]) + " / " + " ".join(cut[2:]))
+    texts.append(". ".join(every).upper())  # all licences in one text
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [tuple(r)[2:] for r in got] == [brute_licences(t) for t in texts]
     assert "mit" in got[0]["labels"].split(",")
@@ -260,6 +264,59 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**19, 2.0**27, 2.0**31])
+def test_top_k_of_large_components(spark, size):
+    """Scores beyond what a double holds are exact; repeated rows, and one component that outweighs all others."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.uniform(-1, 1, 6) * size / (1 if i % 3 else 1000)).tolist()) for i in range(400)] + [(7, [size] * 6), (7, [size] * 6), (200, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [int(np.floor(x * 4)) for x in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:10]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    if max(abs(w[3]) for w in want) < 1 << 63:
+        assert as_set(vafile.top_k(df, scale=4)) == sorted(want, key=str)
+    else:
+        with pytest.raises(Exception, match="passes 64 bits"):
+            vafile.top_k(df, scale=4).collect()
+
+
+def test_bounds_hold_all_products():
+    rng = np.random.default_rng(3)
+    v, q = (rng.integers(-(10**6), 10**6, (n, 16)) for n in (300, 20))
+    a = vafile.approximation(v)
+    low, high = vafile.bounds(q.astype(float), a["cells"], a["middle"], a["half"])
+    exact = q @ v.T
+    assert (low <= exact).all() and (exact <= high).all() and (high - low).mean() < 0.05 * np.abs(exact).mean()
+
+
+def test_tables_cover_the_radius():
+    """At any size, codes within the radius agree in one substring but for its threshold."""
+    rng = np.random.default_rng(4)
+    for bits, radius in ((64, 9), (16, 9), (384, 20), (4, 9)):
+        for rows in (10, 10**5, 10**9):
+            tab = embeddedup.tables(bits, rows, radius)
+            assert tab[0][0] == 0 and tab[-1][1] == bits
+            for _ in range(100):
+                flipped = rng.choice(bits, min(radius, bits), replace=False)
+                assert any(t < 0 or ((flipped >= a) & (flipped < b)).sum() <= t for a, b, t in tab)
+
+
+def test_embedding_recall_in_a_larger_table(spark):
+    """20,000 vectors of one label, with pairs at a cosine from 0.98; labels may be text."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(15_000, 64))
+    near = base[:5000] + rng.normal(size=(5000, 64)) * rng.uniform(0.02, 0.2, (5000, 1))
+    v = np.concatenate([base, near]).astype(np.float32).astype(float)
+    cos = (v[:5000] * v[15_000:]).sum(axis=1) / np.linalg.norm(v[:5000], axis=1) / np.linalg.norm(v[15_000:], axis=1)
+    df = spark.createDataFrame([(i, x.tolist(), "one") for i, x in enumerate(v)], "vec_id long, embedding array<float>, label string").repartition(6)
+    got = embeddedup.near_duplicates(df).where("n_links > 0").count() / 2
+    want = int((cos >= 0.98).sum())
+    assert want > 3000 and 0.97 * want <= got <= want
+
+
 @pytest.mark.parametrize("part", [512, 7])
 def test_embeddings(spark, part, monkeypatch):
     monkeypatch.setattr(embeddedup, "PART", part)
