@@ -72,32 +72,37 @@ def _cell(cuts: list[float], number: Column) -> Column:
 def placed(docs: DataFrame, shards: int = 16, id: str = "doc_id", text: str = "text", strings: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Each row's id, size, text_crc32, curve index, shard and slot; shards hold equal numbers of rows, or one more.
 
-    Dimensions: the ``strings``, the size and the id. Size: UTF-8 bytes and 1; a null text has none and counts as empty for the checksum.
-    Null metadata take the lowest cell. Ties on the curve go by checksum and id, so equal texts of a cell lie together; repeated
-    rows are told apart by nothing and take neighbouring slots. Empty tables give none. The texts aren't shuffled: one narrow row each is.
+    Dimensions: the ``strings``, the size and the id, of equal texts the least ones (null metadata lowest, null ids last), so that these
+    lie next to each other and share a shard, unless the law cuts between them. Size: UTF-8 bytes and 1; a null text has none and counts as empty for the
+    checksum; texts of any length are read whole. Ties on the curve go by the text's hash and checksum, then by id; repeated rows are told apart by nothing
+    and take neighbouring slots. Extra columns are left out. Empty tables give none. The texts aren't shuffled: one narrow row each is.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(id).cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_s{k}") for k, c in enumerate(strings)),
+        F.xxhash64(body).alias("_g"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_m{k}") for k, c in enumerate(strings)),
     )
     rows = checkpointed(rows)
+    same = ["_g", "size", "text_crc32"]
+    least = rows.groupBy(*same).agg(F.min("doc_id").alias("_id"), *(F.min(f"_m{k}").alias(f"_s{k}") for k in range(len(strings))))
+    rows = checkpointed(rows.select("doc_id", *same).join(least, same))
     ends = rows.agg(*(f(f"_s{k}").alias(f"{n}{k}") for k in range(len(strings)) for n, f in (("a", F.min), ("b", F.max)))).first()
     common = []
     for k in range(len(strings)):
         a, b = (ends[f"a{k}"] or "").encode(), (ends[f"b{k}"] or "").encode()
         common.append(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))  # noqa: B905
     numbers = {f"d{k}": number_of(F.col(f"_s{k}"), n) for k, n in enumerate(common)}
-    numbers |= {"dsize": F.col("size").cast("double"), "did": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("double")}
+    numbers |= {"dsize": F.col("size").cast("double"), "did": F.coalesce(F.col("_id"), F.lit((1 << 63) - 1)).cast("double")}
     shares = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     cuts = rows.agg(*(F.percentile_approx(c, shares, 10_000).alias(n) for n, c in numbers.items())).first()
     cells = [_cell(cuts[n] or [0.0], c) for n, c in numbers.items()]
     keyed = rows.withColumns({f"_c{n}": c for n, c in enumerate(cells)})
-    keyed = keyed.select("doc_id", "size", "text_crc32", index([F.col(f"_c{n}") for n in range(len(cells))]).alias("curve"))
+    keyed = keyed.select("doc_id", *same, index([F.col(f"_c{n}") for n in range(len(cells))]).alias("curve"))
 
-    order = ["curve", "text_crc32", "doc_id", "size"]
+    order = ["curve", "_g", "text_crc32", "size", "doc_id"]
     ranged = keyed.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     ranged = checkpointed(ranged.withColumn("_n", F.monotonically_increasing_id()))
     place = F.shiftright("_n", 33).alias("_p")

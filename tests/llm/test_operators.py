@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -120,8 +121,6 @@ def test_components_of_a_long_path_and_a_star(spark, small, monkeypatch):
 
 
 def brute_licences(text):
-    import re
-
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for p, label in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     names, best = {x for _, x in places}, 0.5 if places else 0.0
@@ -360,6 +359,59 @@ def test_hilbert_curve_is_a_walk(spark):
         assert all(sum(abs(a - b) for a, b in zip(x, y, strict=True)) == 1 for x, y in zip(walk, walk[1:]))  # noqa: B905
 
 
+def hilbert_place(cells, bits):
+    """The index on the curve, a level of bits at a time."""
+    n, entry, turn, out = len(cells), 0, 0, 0
+
+    def rotated(x, by):
+        by %= n
+        return (x << by | x >> (n - by)) & (1 << n) - 1
+
+    for level in range(bits - 1, -1, -1):
+        seen = sum((c >> level & 1) << k for k, c in enumerate(cells))
+        gray = rotated(seen ^ entry, -(turn + 1))
+        w = 0
+        while gray:
+            w, gray = w ^ gray, gray >> 1
+        out = out << n | w
+        even = 0 if w == 0 else (w - 1) // 2 * 2
+        entry ^= rotated(even ^ even >> 1, turn + 1)
+        low = w if w % 2 else w - 1  # the lowest bit that isn't set
+        turn = (turn + (0 if w == 0 else next(k for k in range(9) if not low >> k & 1)) + 1) % n
+    return out
+
+
+def test_sharding_as_a_version_over_lists(spark, docs, rows):
+    """Cells, places on the curve, shards and slots of each row; equal texts lie together."""
+    texts = {}
+    for i, t, lang, source in rows:
+        g = texts.setdefault(t or "", [[], [], []])
+        for own, x in zip(g, (i, lang or "", source or ""), strict=True):
+            own.append(x)
+    known = {t: (min(lang), min(source), len(t.encode()) + 1, min([i for i in ids if i is not None], default=(1 << 63) - 1)) for t, (ids, lang, source) in texts.items()}
+
+    def common(values):
+        a, b = min(values).encode(), max(values).encode()
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+
+    skip = [common([known[t or ""][k] for _, t, _, _ in rows]) for k in range(2)]
+    dims = {t: [int.from_bytes(v[k].encode()[skip[k] : skip[k] + 7].ljust(7, b"\0"), "big") for k in range(2)] + list(v[2:]) for t, v in known.items()}
+    columns = [sorted(float(dims[t or ""][k]) for _, t, _, _ in rows) for k in range(4)]
+    cuts = [[c[max(0, -(-i * len(c) // 32) - 1)] for i in range(1, 32)] for c in columns]
+    hashes = dict(map(tuple, spark.createDataFrame([(t,) for t in known], "t string").select("t", F.xxhash64("t")).collect()))
+    place = {t: hilbert_place([sum(x < d for x in cut) for cut, d in zip(cuts, map(float, own), strict=True)], 5) for t, own in dims.items()}
+    order = sorted((place[t or ""], hashes[t or ""], zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, i is not None, i or 0) for i, t, _, _ in rows)
+    n, want, first = len(order), [], {}
+    for r, (at, _, crc, size, known_id, i) in enumerate(order):
+        shard = r * 16 // n
+        want.append((i if known_id else None, size, crc, at, shard, r - first.setdefault(shard, r)))
+    assert as_set(hilbert.placed(docs)) == sorted(want, key=str)
+    shards = {}
+    for _, _, crc, _, shard, _ in want:
+        shards.setdefault(crc, set()).add(shard)
+    assert all(max(x) - min(x) <= 1 for x in shards.values())
+
+
 def test_sharding(spark, docs, rows):
     got = hilbert.placed(docs).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows), key=str)
@@ -425,6 +477,38 @@ def test_quality_edge_cases(spark, docs, rows):
     assert quality.scored(empty(spark), labels).count() == 0
 
 
+def test_quality_as_a_version_over_lists(spark):
+    """Contexts, pooling and features by loops; the network is the same, trained on them."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(10**6, ""), (10**6 + 1, None), (None, "a b")], "doc_id long, text string"))
+    rows = docs.withColumn("h", F.xxhash64("doc_id", F.lit(7))).collect()
+    words, shapes = quality._index()
+    tokens = {r["text"]: [(zlib.crc32(t.lower().encode()) % quality.BUCKETS, quality._shape(t)) for t in quality.TOKEN.findall(r["text"] or "")] for r in rows}
+    table = np.zeros((quality.BUCKETS, quality.DIM))
+    for r in rows:
+        seq = [w for w, _ in tokens[r["text"]]]
+        for i, w in enumerate(seq):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(seq):
+                    table[w] += words[seq[j]]
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+
+    def features(text):
+        seq = tokens[text]
+        if not seq:
+            return np.zeros(quality.FEATURES)
+        a, b, c = (np.mean([m[x] for x in xs], axis=0) for m, xs in ((table, [w for w, _ in seq]), (words, [w for w, _ in seq]), (shapes, [s for _, s in seq])))
+        return np.r_[a, b, c, np.linalg.norm(a), np.linalg.norm(b), np.linalg.norm(c), np.log1p(len(seq)) / 10, len(set(seq)) / len(seq)]
+
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = {r["doc_id"]: r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    known = sorted((r["h"], r["doc_id"], r["text"]) for r in rows if not held[r["doc_id"]] and marks.get(r["doc_id"]) is not None)
+    net = quality.train(np.array([features(t) for _, _, t in known], np.float32).astype(float), np.array([float(marks[i] == 1) for _, i, _ in known]))
+    got = {r["doc_id"]: r for r in quality.scored(docs, labels).collect()}
+    want = net.probability(np.array([features(r["text"]) for r in rows]))
+    assert len(known) > 50 and all(abs(got[r["doc_id"]]["score"] - p) < 0.02 and got[r["doc_id"]]["held_out"] == held[r["doc_id"]] for r, p in zip(rows, want, strict=True))
+
+
 def test_quality_counts_contexts():
     pairs = np.zeros((quality.BUCKETS + 1) ** 2, np.int32)
     seq = np.array([1, 2, 3, quality.BUCKETS, quality.BUCKETS, 1, 1])
@@ -448,6 +532,81 @@ def test_language(spark):
     assert {r["lang"] for r in language.identified(df.withColumn("declared", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_as_a_version_over_lists(spark):
+    """All evidence by loops over rows: trigrams, hosts, suffixes, declarations."""
+    rng = random.Random(12)
+    speech = {"en": "the and this with there of", "de": "der und nicht eine sich das", "fr": "le la les des une est"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(list(speech))
+        text = " ".join(rng.choice(speech[lang].split()) for _ in range(rng.randint(0, 90)))
+        host = rng.choice(["a.com", "b.de", "c.fr", None, f"{lang}.org"])
+        rows.append((i, rng.choice([text, text, text.upper(), None]), rng.choice([lang, lang, lang, "en", "xx", "", None]), host, host and host[-2:]))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string").repartition(5)
+
+    def grams(t):
+        s = re.sub(rb"[^a-z\x80-\xff]+", b" ", (t or "").lower().encode())
+        if not s.strip():
+            return []
+        s = b" " + s.lstrip() + b" "  # a run that ends the text counts once more, as one space each
+        return [(int.from_bytes(s[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 19 for i in range(len(s) - 2)]
+
+    counts = {}
+    for r in rows:
+        if r[2]:
+            counts[r[2]] = counts.get(r[2], 0) + 1
+    names = sorted(x for x, n in counts.items() if n >= language.LEAST)
+    table = np.full((len(names), language.TRIGRAMS), 0.5)
+    for _, t, d, _, _ in rows:
+        if d in names:
+            for g in grams(t):
+                table[names.index(d), g] += 1
+    log_p = np.log(table / table.sum(axis=1, keepdims=True))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    like = [sum((log_p[:, g] for g in grams(t)), np.zeros(len(names))) * min(1.0, language.WEIGHT / max(1, len(grams(t)))) for _, t, *_ in rows]
+    sums = [{}, {}, {}, {}]
+    for r, x in zip(rows, like, strict=True):
+        if grams(r[1]):
+            for s, key in zip(sums, (r[2] or "", r[3] or "", r[4] or "", "all"), strict=True):
+                s[key] = s.get(key, 0) + soft(x)
+    said, hosts, suffixes, (overall,) = *sums[:3], sums[3].values()
+    want = []
+    for r, x in zip(rows, like, strict=True):
+        level = (overall + 1) / (overall.sum() + len(names))
+        for s, key in ((suffixes, r[4] or ""), (hosts, r[3] or "")):
+            own = s.get(key, np.zeros(len(names)))
+            level = (own + language.SMOOTH * level) / (own.sum() + language.SMOOTH)
+        declared = (said.get(r[2], np.zeros(len(names))) + 0.5) / (overall + 1) if r[2] else 1.0
+        p = soft(x + np.log(level) + np.log(declared))
+        want.append((r[0], names[p.argmax()], p.max(), bool(grams(r[1])) and bool(p.max() >= 0.5)))
+    got = sorted((r["id"], r["lang"], r["confidence"], r["kept"]) for r in language.identified(df).collect())
+    assert [(i, n, k) for i, n, _, k in got] == [(i, n, k) for i, n, _, k in sorted(want)]
+    assert np.allclose([c for _, _, c, _ in got], [c for _, _, c, _ in sorted(want)]) and len({n for _, n, _, _ in got}) == 3
+
+
+def test_long_texts_in_one_pass(spark):
+    """A text of some MB beside short ones, in the operators that read texts."""
+    long = " ".join(f"w{n % 5000} the and" for n in range(400_000))
+    df = spark.createDataFrame([(1, long), (2, "the and this"), (3, "the and this there with")], "doc_id long, text string")
+    rows = df.select(F.col("doc_id").alias("id"), "text", F.lit("en").alias("declared"), F.lit("h").alias("host"), F.lit("s").alias("suffix"))
+    assert [r["lang"] for r in language.identified(rows).collect()] == ["en"] * 3
+    found = licences.scan(df.withColumn("text", F.concat("text", F.lit(" Released under the MIT License")))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in found] == ["mit"] * 3 and found[0]["n_words"] == 1_200_005
+
+
+def test_names_that_clash(spark):
+    """Columns called as an operator's own: its own take their place, others stay."""
+    df = spark.createDataFrame([(1, "x all rights reserved", 5, 6, 7)], "doc_id long, text string, score int, labels int, _words int")
+    found = licences.scan(df)
+    assert found.columns == ["doc_id", "text", "_words", *licences.OWN] and found.first()["labels"] == "proprietary,reserved"
+    pieces = spark.createDataFrame([(1, 3, 8, 9, 4), (2, 5, 8, 9, 4)], "doc_id long, length long, sequence_id int, _part int, _rank int")
+    packed = packing.packed(pieces, 16)
+    assert packed.columns == ["doc_id", "length", "_part", "_rank", "sequence_id", "offset"] and sorted(r["offset"] for r in packed.collect()) == [0, 5]
+    rows = spark.createDataFrame([(1, "a b c", "en", "h", "s", 3)], "id long, text string, declared string, host string, suffix string, lang int")
+    assert language.identified(rows, carry=("id", "declared", "lang")).columns == ["id", "declared", "lang", "confidence", "kept"]
+
+
 def test_rare_languages(spark):
     """40 languages of 6 rows each beside 7,000 rows of another: all have a model."""
     rng = random.Random(8)
