@@ -190,8 +190,67 @@ def test_pipeline(spark):
     assert cut.columns == docs.columns and cut.schema == docs.schema and cut.where(F.col("n_chars") != F.length("text")).count() == 0
     sizes = {i: n - gone for i, n, gone, *_ in substrings.brute([(r["doc_id"], r["text"]) for r in before])}
     assert all(len((r["text"] or "").encode()) in range(sizes[r["doc_id"]] - 40, sizes[r["doc_id"]] + 1) for r in cut.collect())
-    out = corpus_pipeline.run(spark, SMALL)
-    assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 50
+
+
+def test_pipeline_as_a_version_over_lists(spark):
+    """The whole of ``run`` on the smallest tables: what stays after each stage, and the pieces, by plain lists."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leafmill.llm import language
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r["doc_id"] for r in quality.scored(docs, labels).where("predicted = 1").collect()}  # tests of its own hold this against lists
+    kept = docs.where(F.col("doc_id").isin(sorted(good)))
+    rows = kept.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    told = {r["id"] for r in language.identified(rows).where("kept").collect()}
+    texts = [(r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] in told]
+    group, least = keepers(texts)
+    single = sorted((i, t) for i, t in texts if least[min(group[t or ""])] == (i is None, i or 0))
+    first, want = {}, []
+    for i, t in single:
+        b = (t or "").encode()
+        for s in range(len(b) - 49):
+            first.setdefault(b[s : s + 50], i)  # ids rise
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, t in single:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < i:
+                gone[s : s + 50] = True
+        edges = np.flatnonzero(np.diff(np.r_[True, gone[:-1], True].astype(int)))
+        text = "".join(b[x:y].decode("utf-8", "ignore") for x, y in zip(edges[::2], edges[1::2], strict=True))
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        want += [(i, n, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for n, at in enumerate(range(0, len(ids), 2048))]
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want) and 50 < len(single) < docs.count()
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    rooms = []  # best-fit decreasing, one piece after the other
+    for n in sorted((w[3] for w in want), reverse=True):
+        fit = min((k for k, room in enumerate(rooms) if room >= n), key=lambda k: rooms[k], default=None)
+        if fit is None:
+            rooms.append(2048 - n)
+        else:
+            rooms[fit] -= n
+    assert len(bins) == len(rooms)
+
+
+def test_stages_take_clashing_columns(spark):
+    """Columns that the stages might use themselves stay as they are."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).withColumns({c: F.lit(7) for c in ("_node", "_key", "__id", "__node", "id", "node", "_x", "other", "blk", "keeper", "declared", "host")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.where("_node = 7 and _key = 7 and __id = 7 and __node = 7 and id = 7").count() == docs.count() > 0
+        docs = docs.select(*docs.columns)
+    assert corpus_pipeline.packed(spark, docs, SMALL).count() > 0
 
 
 def test_pipeline_on_nothing(spark, tmp_path):
