@@ -104,8 +104,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo:
 FROM w LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)"""
 
 
+#: All strings of 50 bytes, as 100 hexadecimal digits; runs of those that a smaller id has; what stands between them.
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, coalesce(doc_id, 9223372036854775807) AS id, i, substr(h, 2 * i + 1, 100) AS g FROM d, unnest(range(0, len(h) // 2 - 49)) AS u(i)),
+m AS (SELECT g, min(id) AS low FROM s GROUP BY g HAVING max(id) > min(id)),
+x AS (SELECT r, i, i > 50 + lag(i) OVER (PARTITION BY r ORDER BY i) AS apart FROM s JOIN m USING (g) WHERE id > low),
+n AS (SELECT r, i, count(*) FILTER (apart) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
+c AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY r, run),
+k AS (SELECT r, h, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM c JOIN d USING (r)),
+t AS (SELECT r, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+  FROM k JOIN (SELECT r, max(b) AS last FROM c GROUP BY r) USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _licence_sql(),
+    "op3_suffix_array_dedup": _REPEATS,
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
