@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from leafmill.plans.html import query
 from leafmill.sources import docx
 from leafmill.sources.samples import key_of, supplier_files
 from leafmill.streaming import incremental
-from leafmill.tables import load
+from leafmill.tables import load, shared_folder
 
 N = "chr(10)"
 
@@ -25,8 +24,10 @@ def files(spark, sf_dir, broken=False):
 
 def folder(spark, sf_dir, broken=False) -> str:
     """The packages as files in a new folder: in the shared one of the session, or a temporary one where it has none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
-    path = f"{top.removeprefix('file://')}/packages-{uuid.uuid4().hex}"
+    top = shared_folder(spark).removeprefix("file://")
+    if "://" in top:
+        raise ValueError("sample packages are written by the tasks themselves, to a folder that all machines mount")
+    path = f"{top}/packages-{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
 
     def write(frames):
@@ -240,5 +241,4 @@ def read_md(spark, sf_dir):
 
 
 def folder_for(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
-    return f"{top}/texts-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"

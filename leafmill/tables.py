@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if ROOT not in sys.path:
         sys.path.append(ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``. Only a session within one machine may be without, as in tests, and gets a temporary one."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not top and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir isn't set: executors and driver need a folder that they share")
+    return top or tempfile.mkdtemp(prefix="leafmill-")
