@@ -35,7 +35,7 @@ BLOCK_MB = 1.5
 #: Stands for a null id: above all others.
 NO_ID = (1 << 63) - 1
 #: An anchor is hot if more blocks than this have it, or one has it more often than this.
-HOT_BLOCKS, HOT_TIMES = 256, 256
+HOT_BLOCKS, HOT_TIMES = 4096, 256
 #: Contexts gathered, and symbols sorted, at a time.
 ROWS, SYMBOLS = 1 << 13, 1 << 18
 FULL = np.uint32(0xFFFFFFFF)

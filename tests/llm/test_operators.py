@@ -158,7 +158,7 @@ def test_licences(spark, docs, rows):
     assert licences.scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("length,gram,hot", [(50, 26, 256), (24, 12, 256), (50, 26, 0), (24, 12, 1)])
+@pytest.mark.parametrize("length,gram,hot", [(50, 26, 4096), (24, 12, 4096), (50, 26, 0), (24, 12, 1)])
 def test_substrings(spark, docs, rows, length, gram, hot, monkeypatch):
     """``hot``: blocks above which an anchor's strings are dealt one by one, through lanes."""
     monkeypatch.setattr(substrings, "HOT_BLOCKS", hot)
