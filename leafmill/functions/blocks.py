@@ -34,13 +34,38 @@ UNDERLINE = re.compile(r"(=+|-+)\s*\Z")
 DIVIDER = re.compile(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*\Z")
 
 
+# How Markdown readers pair marks of emphasis, in the order tried: what is between the marks stays.
+STARS = [
+    re.compile(p, re.S)
+    for p in (r"(\*)\1{2}(.+?)\1(.*?)\1{2}", r"(\*)\1{2}(.+?)\1{2}(.*?)\1", r"(\*)\1(?!\1)([^*]+?)\1(?!\1)(.+?)\1{3}", r"(\*{2})(.+?)\1()", r"(\*)([^*]+)\1()")
+]
+LINES = [re.compile(p, re.S) for p in (r"(?<!\w)(_)\1{2}(.+?)\1{3}(?!\w)()", r"(?<!\w)(_{2})(?!_)(.+?)(?<!_)\1(?!\w)()", r"(?<!\w)(_)(?!_)(.+?)(?<!_)\1(?!\w)()")]
+ALONE = re.compile(r"(?:(?<=\s)|(?<![\s\S]))(?:\*{1,3}|_{1,3})(?=\s|\Z)")
+
+
+def plain(text: str, mark: str, patterns: list[re.Pattern]) -> str:
+    """``text`` without pairs of a mark, from the left; a mark between blanks, or without a partner, stays."""
+    out, at = [], 0
+    while (n := text.find(mark, at)) >= 0:
+        out.append(text[at:n])
+        if m := ALONE.match(text, n):
+            out.append(m[0])
+            at = m.end()
+        elif m := next((m for p in patterns if (m := p.match(text, n))), None):
+            out.append(plain(m[2], mark, patterns) + plain(m[3], mark, patterns))
+            at = m.end()
+        else:
+            out.append(mark)
+            at = n + 1
+    return "".join(out) + text[at:]
+
+
 def flat(text: str) -> str:
-    """A block's text without inline marks: pictures go, links and emphasis leave their text."""
+    """A block's text without inline marks: pictures go, links, code and emphasis leave their text."""
     text = re.sub(r"!\[[^\]\n]*\]\([^)\n]*\)", "", text)
     text = re.sub(r"\[([^\]\n]*)\]\([^)\n]*\)", r"\1", text)
-    text = re.sub(r"(\*\*|__)(?=\S)([^\n]*?\S)\1", r"\2", text)
-    text = re.sub(r"(?<![\w*])\*(?=\S)([^*\n]*?\S)\*(?!\w)", r"\1", text)
-    return re.sub(r"`([^`\n]+)`", r"\1", text).strip()
+    text = "".join(x if n % 2 else plain(plain(x, "*", STARS), "_", LINES) for n, x in enumerate(re.split(r"`([^`\n]+)`", text)))
+    return text.strip()
 
 
 def cells(row: str) -> list[str]:

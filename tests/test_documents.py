@@ -86,6 +86,8 @@ def test_html(spark):
 def test_blocks():
     text = "Title\n=====\n\n1. one\n   more\n2. two\n\n> quote\n\n| a | b |\n|---|:-:|\n| **c** | d\\|e |\n\n~~~\ncode *x*\n~~~\n***\n![](p.png)\n\n[t](u) `k`"
     assert B.blocks(text) == [("h1", "Title"), ("bullet", "one\nmore"), ("bullet", "two"), ("paragraph", "quote"), ("code", "| a | b |\n| c | d|e |"), ("code", "code *x*"), ("paragraph", "t k")]
+    flat = {"a *b* **c** ***d*** __e__ _f_": "a b c d e f", "x*** y z*** w": "x y z w", "2 * 3 * 4": "2 * 3 * 4", "a_b_c `*k*`": "a_b_c *k*", "**a *b* c** * d": "a b c * d", "*a": "*a", "![p](q)[t](u)": "t"}
+    assert {x: B.flat(x) for x in flat} == flat
     assert B.blocks("- a\n    - b\n- c") == [("bullet", "b"), ("bullet", "c")]  # an item loses its text to a list in it
     assert B.blocks("- a\n- b\n\n- c\n- d") == [("bullet", "a"), ("paragraph", "b"), ("paragraph", "c"), ("bullet", "d")]
     assert B.blocks("1. a\n\n    more\n\ntext\n- no list") == [("paragraph", "a"), ("paragraph", "more"), ("paragraph", "text\n- no list")]
