@@ -227,23 +227,23 @@ def batch_summary(spark, sf_dir):
 
 def _added(spark, sf_dir):
     """Documents with two pieces each: a line of their own (every second with its case changed), and one that can't be there."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     first = F.get(F.split("text", "\n"), F.lit(0))
     own = F.when(F.col("doc_id") % 2 == 0, first).otherwise(F.concat(F.lit("~"), first))
     return docs.select("doc_id", "text", F.array(F.concat(own, F.lit("\nsecond")), F.lit("~~x\ny")).alias("boxes"), F.array(own, F.lit("~~x^2")).alias("formulas"))
 
 
-_OWN = "(SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '~' END || split_part(text, chr(10), 1) AS own FROM documents WHERE text IS NOT NULL)"
+_OWN = "(SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '~' END || split_part(text, chr(10), 1) AS own FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
 
 
 @query("missing_textbox", f"SELECT doc_id, CASE WHEN contains(text, own) THEN 1 ELSE 2 END::INT AS out FROM {_OWN}")
 def missing_textbox(spark, sf_dir):
-    return _added(spark, sf_dir).where("text is not null").select("doc_id", F.size(appendix.missing_boxes(F.col("text"), F.col("boxes"))).alias("out"))
+    return _added(spark, sf_dir).select("doc_id", F.size(appendix.missing_boxes(F.col("text"), F.col("boxes"))).alias("out"))
 
 
 @query("missing_formula", f"SELECT doc_id, CASE WHEN contains(text, own) THEN 1 ELSE 2 END::INT AS out FROM {_OWN}")
 def missing_formula(spark, sf_dir):
-    return _added(spark, sf_dir).where("text is not null").select("doc_id", F.size(appendix.missing_formulas(F.col("text"), F.col("formulas"))).alias("out"))
+    return _added(spark, sf_dir).select("doc_id", F.size(appendix.missing_formulas(F.col("text"), F.col("formulas"))).alias("out"))
 
 
 def _append_sql(head: str, one: str, two: str) -> str:
@@ -253,9 +253,9 @@ def _append_sql(head: str, one: str, two: str) -> str:
 
 @query("append_textbox", _append_sql("文本框内容", "'> ' || own || chr(10) || 'second'", "'> ~~x' || chr(10) || 'y'"))
 def append_textbox(spark, sf_dir):
-    return _added(spark, sf_dir).where("text is not null").select("doc_id", appendix.append_boxes(F.col("text"), F.col("boxes")).alias("out"))
+    return _added(spark, sf_dir).select("doc_id", appendix.append_boxes(F.col("text"), F.col("boxes")).alias("out"))
 
 
 @query("append_formula", _append_sql("数学公式", "'> $$ ' || own || ' $$'", "'> $$ ~~x^2 $$'"))
 def append_formula(spark, sf_dir):
-    return _added(spark, sf_dir).where("text is not null").select("doc_id", appendix.append_formulas(F.col("text"), F.col("formulas")).alias("out"))
+    return _added(spark, sf_dir).select("doc_id", appendix.append_formulas(F.col("text"), F.col("formulas")).alias("out"))
