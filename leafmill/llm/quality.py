@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, ending, tree_added
+from leafmill.llm.common import checkpointed, ending, keep_oldest, tree_added
 
 BUCKETS, DIM, NONZERO = 4096, 48, 4
 SHAPES, SHAPE_DIM = 256, 32
@@ -26,7 +26,7 @@ SHAPES, SHAPE_DIM = 256, 32
 TRAIN_ROWS = 20_000
 FEATURES = 2 * DIM + SHAPE_DIM + 5
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE = 200_000
+CACHE = 400_000
 
 
 def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -39,23 +39,29 @@ def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
 
 
 _known: dict[str, int] = {}
+_shapes: dict[tuple, int] = {}
 _tables: dict[str, np.ndarray] = {}
 
 
 def _shape(token: str) -> int:
     """Which kind of characters begin and end a token, its case, and how long it is."""
-    kinds = "".join("9" if c.isdigit() else "x" if c.islower() else "X" if c.isupper() else "a" if c.isalpha() else c for c in (token[0], token[-1]))
-    case = "u" if token.isupper() else "t" if token.istitle() else "l"
-    return zlib.crc32(f"{kinds}{case}{min(len(token).bit_length(), 5)}".encode("utf-8", "replace")) % SHAPES
+    key = token[0], token[-1], token.isupper(), token.istitle(), min(len(token).bit_length(), 5)
+    if (n := _shapes.get(key)) is None:
+        kinds = "".join("9" if c.isdigit() else "x" if c.islower() else "X" if c.isupper() else "a" if c.isalpha() else c for c in key[:2])
+        case = "u" if key[2] else "t" if key[3] else "l"
+        if len(_shapes) > CACHE // 4:
+            _shapes.clear()
+        n = _shapes[key] = zlib.crc32(f"{kinds}{case}{key[4]}".encode("utf-8", "replace")) % SHAPES
+    return n
 
 
 def forget() -> None:
-    _known.clear()
+    keep_oldest(_known, CACHE // 4)
 
 
 def _learn(token: str) -> int:
     if len(_known) > CACHE:
-        _known.clear()
+        keep_oldest(_known, CACHE // 2)
     n = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % BUCKETS * SHAPES + _shape(token)
     _known[token] = n
     return n

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import checkpointed, components, ending, forest, grouped, joined, unused
+from leafmill.llm.common import checkpointed, components, ending, forest, grouped, joined, keep_oldest, unused
 
 BITS = 64
 #: Hashes whose bits are counted at a time.
@@ -221,19 +221,19 @@ MERGES = 2
 #: Columns of the matrix by which shared shingles are counted.
 WIDE = 4096
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-CACHE = 200_000
+CACHE = 400_000
 _words: dict[bytes, int] = {}
 
 
 def forget() -> None:
-    _words.clear()
+    keep_oldest(_words, CACHE // 4)
 
 
 def _learn(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
     if len(_words) > CACHE:
-        _words.clear()
+        keep_oldest(_words, CACHE // 2)
     _words[word] = h = xxh64_intdigest(word, 42)
     return h
 
