@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from leafmill.functions import blocks as B
-from leafmill.operators import convert, headings, pairs
+from leafmill.operators import convert, documents, headings, pairs
 from leafmill.plans.html import query
 from leafmill.sources import docx
 from leafmill.sources.samples import key_of, supplier_files
@@ -144,6 +144,12 @@ def docx_to_md(spark, sf_dir):
     return docx.converted(files(spark, sf_dir)).select(key_of().alias("doc_id"), "stem", "markdown")
 
 
+@query("docx_relational", f"SELECT s_suppkey AS doc_id, {_MARKDOWN} AS markdown FROM supplier")
+def docx_relational(spark, sf_dir):
+    """The same documents by relational operators alone."""
+    return documents.markdown(files(spark, sf_dir)).select(key_of("doc_id").alias("doc_id"), "markdown")
+
+
 @query("docx_assets", "SELECT s_suppkey AS doc_id, 'photo.png' AS name, (8 + length(s_suppkey::VARCHAR))::INT AS size FROM supplier")
 def docx_assets(spark, sf_dir):
     rows = docx.converted(files(spark, sf_dir)).select(key_of().alias("doc_id"), F.explode("assets").alias("a"))

@@ -301,7 +301,7 @@ def parts(files: DataFrame, prefixes: tuple[str, ...] = ("word/media/", "word/em
 
 
 def relations(files: DataFrame) -> DataFrame:
-    """All small relations of each package from one parse: kind is rel, object, bookmark, box, formula, html or error."""
+    """All small relations of each package from one parse: kind is rel, object, bookmark, picture, box, formula, html or error."""
 
     def read(frames):
         for pdf in frames:
@@ -310,6 +310,7 @@ def relations(files: DataFrame) -> DataFrame:
                     p = read_package(content)
                     rows = [("rel", n, i, *x) for n, (i, x) in enumerate(p.rels.items())] + [("object", n, None, *x) for n, x in enumerate(p.objects)]
                     rows += [("bookmark", n, name, style, text) for n, name, style, text in p.bookmarks]
+                    rows += [("picture", n, key, hashlib.sha256(data).hexdigest(), picture_extension(data, mime)) for n, (key, data, mime) in enumerate(p.pictures)]
                     rows += [(k, n, x, None, None) for k, found in (("box", p.boxes), ("formula", p.formulas), ("html", [p.html])) for n, x in enumerate(found)]
                     rows = [(path, *r, None) for r in rows]
                 except Exception as e:
@@ -360,6 +361,10 @@ def sniff(data: bytes) -> str | None:
     return next((ext for at, sign, ext in SIGNATURES if data[at : at + len(sign)] == sign and (ext != ".webp" or data[:4] == b"RIFF")), None)
 
 
+def picture_extension(data: bytes, mime: str) -> str:
+    return sniff(data) or MIME.get(mime.rpartition("/")[2], ".bin")
+
+
 def pair_up(rels: dict[str, tuple[str, str]], objects) -> list[tuple[str, str]]:
     """(workbook, preview): those that objects name, then neighbours by relationship number."""
     out = []
@@ -418,7 +423,7 @@ def convert(path: str, content: bytes, compat: bool = True, limits: X.Limits = X
             spliced[f"![]({key})"] = waiting[min(k, len(waiting) - 1)]
             continue
         if digest not in asset_of:
-            file = f"image_{digest[:16]}{sniff(data) or MIME.get(mime.rpartition('/')[2], '.bin')}"
+            file = f"image_{digest[:16]}{picture_extension(data, mime)}"
             assets.setdefault(file, data)
             asset_of[digest] = f"assets/{file}"
         html = html.replace(f'"{key}"', f'"{asset_of[digest]}"')
