@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ending, keep_oldest
+from leafmill.llm.common import ending, keep_oldest, unused
 
 #: Pre-tokens kept in a worker; then it starts anew.
 CACHE = 400_000
@@ -127,7 +127,10 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (the bytes again); a null text is empty."""
+    """``docs`` with ``ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (the bytes again), which take the place of columns of these names.
+
+    A null text is empty; texts of any length are encoded whole, pre-token by pre-token. Rows come out as they went in, repeated ones too; empty tables give none.
+    """
 
     @F.pandas_udf("ids binary, decoded binary")
     def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -139,11 +142,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
 
         return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 4))
 
-    return docs.withColumn("_c", code(F.col(text))).select(*docs.columns, "_c.ids", "_c.decoded")
+    (c,) = unused(docs, "_c")
+    return docs.withColumn(c, code(F.col(text))).select(*(x for x in docs.columns if x not in ("ids", "decoded")), f"{c}.ids", f"{c}.decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, number of ids, digests of ids and of the decoded bytes; made in the workers, so that ids don't travel."""
+    """doc_id, number of ids, digests of ids and of the decoded bytes; made in the workers, so that ids don't travel. Nulls, long texts and rows as in ``encoded``."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def code(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

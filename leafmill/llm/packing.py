@@ -150,7 +150,10 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece of at most ``capacity`` tokens: id, piece, start, length, ids_crc32. A document ends with the id ``end``; null texts are empty."""
+    """Per piece of at most ``capacity`` tokens: id, piece, start, length, ids_crc32. A document ends with the id ``end``.
+
+    Null texts are empty and make one piece; texts of any length are encoded whole and cut by tokens. Repeated rows make pieces each; extra columns are left out.
+    """
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

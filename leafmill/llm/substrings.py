@@ -36,6 +36,8 @@ BLOCK_MB = 1.5
 NO_ID = (1 << 63) - 1
 #: An anchor is hot if more blocks than this have it, or one has it more often than this.
 HOT_BLOCKS, HOT_TIMES = 4096, 256
+#: A bucket's number times a 40-bit one must fit in 64 bits; beyond so many blocks, buckets grow.
+MOST_BUCKETS = (1 << 24) - 1
 #: Contexts gathered, and symbols sorted, at a time.
 ROWS, SYMBOLS = 1 << 13, 1 << 18
 FULL = np.uint32(0xFFFFFFFF)
@@ -172,10 +174,13 @@ def _in_block(hashes: np.ndarray, text: np.ndarray):
     return values, low != high, times > HOT_TIMES, inverse
 
 
-def _bounds(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, an even share of the 40-bit numbers, begins among the sorted values."""
-    edges = np.array([(i << 40) // buckets for i in range(buckets + 1)], np.uint64)
-    return np.searchsorted(values, edges)
+def _shares(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the sorted 40-bit numbers in each bucket that has some; a bucket is an even share of all such numbers."""
+    if not len(values):
+        return []
+    own = values * np.uint64(buckets) >> np.uint64(40)
+    begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return list(zip(own[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(values)], strict=True))
 
 
 def _gaps(values: np.ndarray, first: int) -> bytes:
@@ -263,7 +268,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     if not 8 <= gram < length <= 255 or length - gram > 31:
         raise ValueError("gram must be under length, by 31 at most")
     parts = parts_for(docs, BLOCK_MB, text)
-    lanes = math.isqrt(parts - 1) + 1
+    buckets, lanes = min(parts, MOST_BUCKETS), math.isqrt(parts - 1) + 1
     width = -(-(2 * length - gram + 2) // 8)  # 64-bit words of a context, with its anchor's place and the span of its strings
     other = F.struct(*carry).alias("other") if carry else F.lit(None).cast("int").alias("other")
     blocks = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("body"), other).select(
@@ -274,8 +279,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         _, texts, _ = _sorted_rows(pdf)
         found = _block_anchors(texts, length, gram)
         values, _, often, _ = _in_block(found[1], found[0])
-        at = _bounds(values, parts)
-        rows = [(i, pdf["blk"].iat[0], (n := at[i + 1] - at[i]).tobytes() + np.packbits(often[at[i] : at[i + 1]]).tobytes() + _gaps(values[at[i] : at[i + 1]], (i << 40) // parts)) for i in range(parts) if at[i] < at[i + 1]]
+        rows = [(i, pdf["blk"].iat[0], (e - s).to_bytes(8, "little") + np.packbits(often[s:e]).tobytes() + _gaps(values[s:e], (i << 40) // buckets)) for i, s, e in _shares(values, buckets)]
         return pd.DataFrame(rows, columns=["bucket", "blk", "body"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -283,7 +287,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         bucket = int(pdf["bucket"].iat[0])
         counts = [int.from_bytes(b[:8], "little") for b in pdf["body"]]
         often = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -(-n // 8), 8), count=n) for n, b in zip(counts, pdf["body"], strict=True)])
-        every = np.concatenate([_values(b[8 + -(-n // 8) :], (bucket << 40) // parts) for n, b in zip(counts, pdf["body"], strict=True)])
+        every = np.concatenate([_values(b[8 + -(-n // 8) :], (bucket << 40) // buckets) for n, b in zip(counts, pdf["body"], strict=True)])
         _, of, blocks_of = np.unique(every, return_inverse=True, return_counts=True)
         twice = blocks_of > 1
         hot = twice & ((blocks_of > HOT_BLOCKS) | (np.bincount(of, often) > 0))
@@ -302,12 +306,12 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
             self.bytes = np.frombuffer(b"\0".join([*self.texts, bytes(2 * length)]), np.uint8)
             text_no, hashes, place, first, last = _block_anchors(self.texts, length, gram)
             values, shared, _, number = _in_block(hashes, text_no)
-            hot, at = np.zeros(len(values), bool), _bounds(values, parts)
-            for bucket, body in flags:
-                n = int(at[bucket + 1] - at[bucket])
-                twice, burning = (np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), k * -(-n // 8)), count=n).astype(bool) for k in (0, 1))
-                shared[at[bucket] : at[bucket + 1]] |= twice
-                hot[at[bucket] : at[bucket + 1]] = burning
+            hot, told = np.zeros(len(values), bool), dict(flags)
+            for bucket, s, e in _shares(values, buckets):
+                size = -(-(e - s) // 8)
+                twice, burning = (np.unpackbits(np.frombuffer(told[bucket], np.uint8, size, k * size), count=e - s).astype(bool) for k in (0, 1))
+                shared[s:e] |= twice
+                hot[s:e] = burning
             hot, shared = hot[number], shared[number]
             own, cut = np.flatnonzero(shared & ~hot), np.flatnonzero(hot)
             count = last[cut] - first[cut] + 1
@@ -339,10 +343,9 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
                 mine = np.flatnonzero(self.single == single)
                 one, low, of = _entries(key[mine], self.rows[mine], ids[self.text[mine]])
                 self.of[mine] = of + before
-                edges = _bounds(key[mine][one] >> np.uint64(24), parts)
-                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():  # in the order of the texts, so that least ids don't fall
-                    some = np.arange(edges[i], edges[i + 1])
-                    self.entries.append((parts * (1 + self.blk % lanes) + i if single else i, some[np.argsort(one[some])] + before))
+                for i, s, e in _shares(key[mine][one] >> np.uint64(24), buckets):  # in the order of the texts, so that least ids don't fall
+                    some = np.arange(s, e)
+                    self.entries.append((buckets * (1 + self.blk % lanes) + i if single else i, some[np.argsort(one[some])] + before))
                 items.append(mine[one])
                 least.append(low)
                 before += len(one)
@@ -378,9 +381,9 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each block's entries: which of their strings a smaller id than the entry's own has; of hot anchors, in the lane's blocks."""
         bucket = int(pdf["bucket"].iat[0])
-        least, rows, key, sizes = opened(pdf["body"], bucket >= parts)
+        least, rows, key, sizes = opened(pdf["body"], bucket >= buckets)
         one, smallest, of = _entries(key, rows, least)
-        mask = _masks(key[one], rows[one], smallest, length, gram) if bucket < parts else np.zeros(len(one), np.uint32)
+        mask = _masks(key[one], rows[one], smallest, length, gram) if bucket < buckets else np.zeros(len(one), np.uint32)
         marks = np.where(least > smallest[of], FULL, mask[of]).astype("<u4")
         ends = np.cumsum(sizes)
         return pd.DataFrame({"kind": 1, "bucket": bucket, "blk": pdf["blk"], "body": [_pack(marks[e - n : e]) for n, e in zip(sizes, ends, strict=True)]})
@@ -388,24 +391,24 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     def lane(pdf: pd.DataFrame) -> pd.DataFrame:
         """Strings of hot anchors meet in lanes of blocks first: those that have a lane's smallest id go on, with their block, bucket and number there."""
         bucket = int(pdf["bucket"].iat[0])
-        if bucket < parts:
+        if bucket < buckets:
             return pd.DataFrame({"kind": [], "bucket": [], "blk": [], "body": []})
         least, rows, key, sizes = opened(pdf["body"], True)
         _, smallest, of = _entries(key, rows, least)
         first = np.flatnonzero(least == smallest[of])
         ends = np.cumsum(sizes)
         block = np.searchsorted(ends, first, "right")
-        where = np.stack([pdf["blk"].to_numpy()[block], np.full(len(first), bucket), first - (ends - sizes)[block]]).astype("<i4")
+        where = np.stack([pdf["blk"].to_numpy()[block], np.full(len(first), bucket), first - (ends - sizes)[block]]).astype("<i8")
         body = _pack(np.diff(least[first], prepend=0), rows[first]) + where.tobytes() + len(first).to_bytes(8, "little")
-        return pd.DataFrame([(2, bucket % parts, -1, body)], columns=["kind", "bucket", "blk", "body"])
+        return pd.DataFrame([(2, bucket % buckets, -1, body)], columns=["kind", "bucket", "blk", "body"])
 
     def finals(pdf: pd.DataFrame) -> pd.DataFrame:
         """The entries that have the smallest id of a lane, but not of all: their numbers, for each block and bucket."""
         heads, tails = [], []
         for body in pdf["body"]:
             n = int.from_bytes(body[-8:], "little")
-            heads.append(body[: len(body) - 8 - 12 * n])
-            tails.append(np.frombuffer(body, "<i4", 3 * n, len(body) - 8 - 12 * n).reshape(3, n))
+            heads.append(body[: len(body) - 8 - 24 * n])
+            tails.append(np.frombuffer(body, "<i8", 3 * n, len(body) - 8 - 24 * n).reshape(3, n))
         least, rows, key, _ = opened(heads, True)
         _, smallest, of = _entries(key, rows, least)
         gone = np.concatenate(tails, axis=1)[:, least > smallest[of]]
@@ -424,7 +427,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         for bucket, own in b.entries:
             mask[own] = np.frombuffer(_unpack(said[bucket]), "<u4")
             if bucket in gone_too:
-                mask[own[np.frombuffer(gone_too[bucket], "<i4")]] = FULL
+                mask[own[np.frombuffer(gone_too[bucket], "<i8")]] = FULL
         bits = mask[b.of]
         bits[np.array(b.ids, np.int64)[b.text] > b.least[b.of]] = FULL
         whole, some = bits == FULL, np.flatnonzero((bits != FULL) & (bits != 0))
@@ -445,7 +448,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
             rows.append((own_id, len(t), runs[n], b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)), others[b.order[n]]))
         return pd.DataFrame(rows, columns=columns)
 
-    packed, marked = "bucket int, blk int, body binary", "kind int, bucket int, blk int, body binary"
+    packed, marked = "bucket long, blk int, body binary", "kind int, bucket long, blk int, body binary"
 
     def lean(f):
         """A worker gives back what a group took before it goes on."""

@@ -605,6 +605,10 @@ def test_names_that_clash(spark):
     assert packed.columns == ["doc_id", "length", "_part", "_rank", "sequence_id", "offset"] and sorted(r["offset"] for r in packed.collect()) == [0, 5]
     rows = spark.createDataFrame([(1, "a b c", "en", "h", "s", 3)], "id long, text string, declared string, host string, suffix string, lang int")
     assert language.identified(rows, carry=("id", "declared", "lang")).columns == ["id", "declared", "lang", "confidence", "kept"]
+    import public_tokenizers as P
+
+    coded = bytebpe.encoded(df.withColumns({"ids": F.lit(1), "_c": F.lit(2)}), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert coded.columns == ["doc_id", "text", "score", "labels", "_words", "_c", "ids", "decoded"] and bytes(coded.first()["decoded"]) == b"x all rights reserved"
 
 
 def test_rare_languages(spark):
