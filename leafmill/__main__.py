@@ -1,4 +1,4 @@
-"""python -m leafmill convert FILE OUT | batch FOLDER OUT [--force] | blocks FILE.md OUT"""
+"""python -m leafmill convert FILE OUT | batch FOLDER OUT [--force] | blocks FILE.md OUT | pdf FILE.md OUT.pdf"""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="leafmill", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, inputs in (("convert", ("source", "out")), ("batch", ("source", "out")), ("blocks", ("source", "out"))):
+    for name, inputs in (("convert", ("source", "out")), ("batch", ("source", "out")), ("blocks", ("source", "out")), ("pdf", ("source", "out"))):
         p = commands.add_parser(name)
         for x in inputs:
             p.add_argument(x)
@@ -35,6 +35,14 @@ def main(args: list[str] | None = None) -> int:
         rows = convert.run(spark, o.source, o.out, o.force)
         rows.show()
         return int(not rows.where("status = 'failed'").isEmpty())
+    if o.command == "pdf":
+        from pathlib import Path
+
+        from leafmill.sinks.pdf import pdf
+
+        Path(o.out).write_bytes(pdf(Path(o.source).read_text(encoding="utf-8"))[1])
+        print(o.out)
+        return 0
     from leafmill.functions import blocks
 
     texts = spark.read.text(o.source, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markdown"))

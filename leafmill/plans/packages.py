@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import blocks as B
 from leafmill.operators import convert, documents, headings, pairs
 from leafmill.plans.html import query
+from leafmill.sinks import pdf
+from leafmill.sinks.files import write_folders
 from leafmill.sources import docx
 from leafmill.sources.samples import key_of, supplier_files
 from leafmill.streaming import incremental
@@ -226,6 +228,33 @@ def md_block_stats(spark, sf_dir):
     return md_blocks(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(
+    "md_pdf",
+    f"""SELECT p_partkey AS id, 1::INT AS pages, array_to_string([p_name, '• ' || p_brand, '• ' || p_type, 'size ' || p_size || ' x and < more', '| a | b |', '| ' || p_brand || ' | ' || p_size || ' |', 'code ' || p_name], {N}) AS lines FROM part""",
+)
+def md_pdf(spark, sf_dir):
+    """The pages of each text, and the lines set on them."""
+    made = pdf.pdfs(part_markdown(spark, sf_dir), "p_partkey", "markdown")
+    return made.select(F.col("p_partkey").alias("id"), "pages", F.array_join(pdf.shown(F.col("content")), "\n").alias("lines"))
+
+
+@query("md_files", f"SELECT 's' || s_suppkey || '/s' || s_suppkey || '.md' AS file, {_MARKDOWN} AS markdown FROM supplier")
+def md_files(spark, sf_dir):
+    """Folders written by the tasks, and read again."""
+    top = folder_for(spark).removeprefix("file://")
+    write_folders(docx.converted(files(spark, sf_dir)), top).count()
+    texts = spark.read.text(f"{top}/*/*.md", wholetext=True)
+    return texts.select(F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1).alias("file"), F.col("value").alias("markdown"))
+
+
+@query("asset_files", "SELECT 's' || s_suppkey || '/assets/photo.png' AS file, (8 + length(s_suppkey::VARCHAR))::BIGINT AS size FROM supplier")
+def asset_files(spark, sf_dir):
+    top = folder_for(spark).removeprefix("file://")
+    write_folders(docx.converted(files(spark, sf_dir)), top).count()
+    found = spark.read.format("binaryFile").load(f"{top}/*/assets/*").select("path", "length")
+    return found.select(F.regexp_extract("path", "([^/]+/assets/[^/]+)$", 1).alias("file"), F.col("length").alias("size"))
+
+
 @query("page_blocks")
 def page_blocks(spark, sf_dir):
     """The blocks of the pages' Markdown."""

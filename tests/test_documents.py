@@ -96,6 +96,27 @@ def test_blocks():
     assert B.blocks(None) == B.blocks("") == B.blocks("\n \n") == [] and B.blocks("A<B") == [("paragraph", "A<B")]
 
 
+def test_pdf():
+    import re
+
+    from leafmill.sinks.pdf import Chinese, Latin, broken, pdf
+
+    pages, data = pdf("# Tïtle\n\n" + "word " * 3000 + "\n\n```\n(a\\b)\n```\n")
+    assert pages > 3 and data == pdf("# Tïtle\n\n" + "word " * 3000 + "\n\n```\n(a\\b)\n```\n")[1]
+    assert data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == pages and b"(\\(a\\\\b\\)) Tj" in data and "(Tïtle)".encode("cp1252") in data
+    start = int(re.search(rb"startxref\n(\d+)", data)[1])
+    assert data[start : start + 4] == b"xref"
+    for n, place in enumerate(re.findall(rb"(\d{10}) 00000 n", data), 1):
+        assert data[int(place) :].startswith(f"{n} 0 obj".encode())
+    for m in re.finditer(rb"/Length (\d+) >>\nstream\n", data):
+        assert data[m.end() + int(m[1]) :].startswith(b"\nendstream")
+    assert pdf("中文 😀")[1].count(b"/STSong-Light") == 3 and "中文".encode("utf-16-be").hex().encode() in pdf("中文 😀")[1]
+    assert pdf(None)[0] == pdf("")[0] == 1
+    for font, text in ((Latin, "some words of which a few are " + "long" * 60 + " and more"), (Chinese, "中文" * 80 + " abc " + "文" * 50)):
+        lines = broken(text, 20_000, font.width)
+        assert all(sum(map(font.width, x)) <= 20_000 for x in lines) and "".join(lines).replace(" ", "") == text.replace(" ", "") and len(lines) > 3
+
+
 def test_sheets(spark):
     rows = [["", "", " "], ["a", "", "b"], ["c", "", ""]]
     assert xlsx.workbook_markdown(samples.workbook([("s", rows, [])])) == "| a | b |\n| --- | --- |\n| c |  |"
