@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import checkpointed, ending, keep_oldest, unused
 
-CACHE, APART = 400_000, "<|startoftext|>"
+CACHE, APART = 300_000, "<|startoftext|>"
 
 
 class RoomTree:
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
                 out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
             return pd.Series(out)
 
-        return ending(map(some, texts), lambda: keep_oldest(e.cache, CACHE // 2))
+        return ending(map(some, texts), e.cache.clear)
 
     return docs.select(F.col(id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
 

@@ -26,7 +26,7 @@ SHAPES, SHAPE_DIM = 256, 32
 TRAIN_ROWS = 20_000
 FEATURES = 2 * DIM + SHAPE_DIM + 5
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE = 400_000
+CACHE = 200_000
 
 
 def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
@@ -56,7 +56,7 @@ def _shape(token: str) -> int:
 
 
 def forget() -> None:
-    keep_oldest(_known, CACHE // 4)
+    _known.clear()
 
 
 def _learn(token: str) -> int:

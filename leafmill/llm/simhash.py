@@ -221,12 +221,12 @@ MERGES = 2
 #: Columns of the matrix by which shared shingles are counted.
 WIDE = 4096
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-CACHE = 400_000
+CACHE = 200_000
 _words: dict[bytes, int] = {}
 
 
 def forget() -> None:
-    keep_oldest(_words, CACHE // 4)
+    _words.clear()
 
 
 def _learn(word: bytes) -> int:

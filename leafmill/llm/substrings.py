@@ -258,9 +258,11 @@ def _masks(key: np.ndarray, rows: np.ndarray, least: np.ndarray, length: int, gr
     return mask
 
 
-def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Each row's id, ``n_bytes``, ``removed`` (array of [start, end) runs of bytes, maximal, in order), the bytes kept, and ``carry`` as a struct.
 
+    ``as_text``: what is kept comes as text, in which a character that a cut parts goes whole, and a null text stays null.
+
     A byte goes if a string of ``length`` bytes that covers it also starts in a row with a smaller id. Strings are judged on the input.
     Null texts count as empty. A null id is above all others; rows of equal id are never earlier than each other. Texts are
     whole, of any length (a block holds at least one), and matches don't cross them. Empty tables give none; one row comes out for each that went in.
@@ -442,10 +444,15 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
         runs: list[list] = [[] for _ in b.texts]
         for n, s, e in zip(text.tolist(), (x - b.begin[text]).tolist(), (y - b.begin[text]).tolist(), strict=True):
             runs[n].append([s, e])
-        rows, others = [], pdf["other"].tolist() if carry else [None] * len(pdf)
+        rows, others, given = [], pdf["other"].tolist() if carry else [None] * len(pdf), pdf["body"].tolist()
         for n, (own_id, t) in enumerate(zip(b.ids, b.texts, strict=True)):
             edges = [0, *(e for run in runs[n] for e in run), len(t)]
-            rows.append((own_id, len(t), runs[n], b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)), others[b.order[n]]))
+            kept = [t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)]
+            if not as_text:
+                body = b"".join(kept)
+            else:
+                body = None if given[b.order[n]] is None else "".join(x.decode("utf-8", "ignore") for x in kept)
+            rows.append((own_id, len(t), runs[n], body, others[b.order[n]]))
         return pd.DataFrame(rows, columns=columns)
 
     packed, marked = "bucket long, blk int, body binary", "kind int, bucket long, blk int, body binary"
@@ -472,27 +479,14 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
     late = sent.groupBy("bucket").applyInPandas(lean(lane), marked).groupBy("bucket").applyInPandas(lean(finals), marked)
     state = flags.unionAll(marks).unionAll(late)
     kind = blocks.schema["other"].dataType.simpleString()
-    cut = texts.cogroup(state.groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept binary, other {kind}")
+    cut = texts.cogroup(state.groupBy("blk")).applyInPandas(lean(pass_three), f"id long, n_bytes long, removed array<array<long>>, kept {'string' if as_text else 'binary'}, other {kind}")
     return cut.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with each text cut by ``repeated``, in other order; a character that a cut parts goes whole, and a text may become empty."""
-    found = repeated(docs, length, id=id, text=text, carry=tuple(docs.columns))
-
-    @F.pandas_udf("string")
-    def rest(body: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for b, runs in zip(body, gone, strict=True):
-            parts, at, lost = [], 0, 0
-            for x, y in runs:
-                parts.append(b[at : x - lost])
-                at, lost = x - lost, lost + y - x
-            out.append("".join(p.decode("utf-8", "ignore") for p in (*parts, b[at:])))
-        return pd.Series(out)
-
-    cut = F.when(F.size("removed") > 0, rest("kept", "removed")).otherwise(F.col(f"other.{text}"))
-    return found.select(*(cut.alias(text) if c == text else F.col(f"other.{c}") for c in docs.columns))
+    found = repeated(docs, length, id=id, text=text, carry=tuple(c for c in docs.columns if c != text), as_text=True)
+    return found.select(*(F.col("kept").alias(c) if c == text else F.col(f"other.`{c}`") for c in docs.columns))
 
 
 def digest(df: DataFrame) -> DataFrame:
