@@ -104,7 +104,7 @@ SELECT page_id, pos::INT AS pos, regexp_extract(ms[pos], '"([^"]*)"', 1) AS href
 )
 def page_link_rows(spark, sf_dir):
     """A row for each link of each page: its place, address and text."""
-    found = F.expr("regexp_extract_all(html, '(?is)<a(?!\\\\w)[^>]*(?<!\\\\w)href\\\\s*=\\\\s*[\"\\']?[^>]*>.*?</a>', 0)")
+    found = F.expr("regexp_extract_all(html, '(?is)<a\\\\b[^>]*\\\\bhref\\\\s*=\\\\s*[\"\\']?[^>]*>.*?</a>', 0)")
     rows = load(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("p", "m"))
     return rows.select("page_id", (F.col("p") + 1).alias("pos"), F.regexp_extract("m", rf"(?is)href\s*=\s*{H.VALUE}", 1).alias("href"), F.regexp_extract("m", "(?s)>(.*)</", 1).alias("text"))
 
