@@ -39,7 +39,7 @@ HOT_BLOCKS, HOT_TIMES = 4096, 256
 #: A bucket's number times a 40-bit one must fit in 64 bits; beyond so many blocks, buckets grow.
 MOST_BUCKETS = (1 << 24) - 1
 #: Contexts gathered, and symbols sorted, at a time.
-ROWS, SYMBOLS = 1 << 13, 1 << 18
+ROWS, SYMBOLS = 1 << 14, 1 << 18
 FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -206,6 +206,14 @@ def _unpack(packed: bytes) -> bytes:
     return pyarrow.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
 
 
+def _hashed(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for w in rows.T:
+        h = (h ^ w) * np.uint64(MULT)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 def _entries(key: np.ndarray, rows: np.ndarray, least: np.ndarray):
     """Equal (key, row) together: an entry's first item and least id, entries ordered by key; each item's entry.
 
@@ -323,41 +331,43 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
             #: of each item: its text, where it starts, how many strings it has beside the first, where its anchor stands
             self.text = np.r_[text_no[own], text_no[strings]]
             self.start = self.begin[self.text] + np.r_[first[own], first[strings] + step]
-            self.span, place = np.r_[(last - first)[own], none], np.r_[(place - first)[own], none]
-            rows = np.zeros((len(self.text), 8 * width), np.uint8)
-            j = np.arange(2 * length - gram)
-            for k in range(0, len(rows), ROWS):
-                some = slice(k, k + ROWS)
-                rows[some, : len(j)] = np.where(j < length + self.span[some, None], self.bytes[self.start[some, None] + j], 0)
-            rows[:, -2], rows[:, -1] = place, self.span
-            self.rows = rows.view(np.uint64)
-            hashed = np.zeros(len(strings), np.uint64)  # of each single string
-            for w in self.rows[len(own) :].T:
-                hashed = (hashed ^ w) * np.uint64(MULT)
-                hashed ^= hashed >> np.uint64(31)
-            self.key = key = np.r_[hashes[own], hashed]
-            self.single = np.arange(len(key)) >= len(own)
-            ids = np.array(self.ids, np.int64)
-            self.of = np.empty(len(key), np.int64)
+            self.span, self.place = np.r_[(last - first)[own], none], np.r_[(place - first)[own], none]
+            self.of = np.empty(len(self.text), np.int64)
             self.entries: list[tuple[int, np.ndarray]] = []  # of each bucket
-            items, least, before = [], [], 0
-            for single in (False, True):
-                mine = np.flatnonzero(self.single == single)
-                one, low, of = _entries(key[mine], self.rows[mine], ids[self.text[mine]])
-                self.of[mine] = of + before
-                for i, s, e in _shares(key[mine][one] >> np.uint64(24), buckets):  # in the order of the texts, so that least ids don't fall
+            found, before = [], 0
+            for single, items in ((False, np.arange(len(own))), (True, np.arange(len(own), len(self.text)))):
+                item, key, rows, low = self._distinct(items, hashes[own], single)
+                for i, s, e in _shares(key >> np.uint64(24), buckets):  # in the order of the texts, so that least ids don't fall
                     some = np.arange(s, e)
-                    self.entries.append((buckets * (1 + self.blk % lanes) + i if single else i, some[np.argsort(one[some])] + before))
-                items.append(mine[one])
-                least.append(low)
-                before += len(one)
-            self.item, self.least = np.concatenate(items), np.concatenate(least)
+                    self.entries.append((buckets * (1 + self.blk % lanes) + i if single else i, some[np.argsort(item[some])] + before))
+                self.of[items] += before
+                found.append((rows, low))
+                before += len(item)
+            self.rows, self.least = (np.concatenate(x) for x in zip(*found, strict=True))
+
+        def _distinct(self, items: np.ndarray, hashes: np.ndarray, single: bool):
+            """(first item, key, row, least id) of the entries that items make, by key; some items at a time, so that a text that repeats itself takes little."""
+            ids, j, parts = np.array(self.ids, np.int64), np.arange(2 * length - gram), []
+            for k in range(0, max(1, len(items)), ROWS):
+                some = items[k : k + ROWS]
+                rows = np.zeros((len(some), 8 * width), np.uint8)
+                rows[:, : len(j)] = np.where(j < length + self.span[some, None], self.bytes[self.start[some, None] + j], 0)
+                rows[:, -2], rows[:, -1] = self.place[some], self.span[some]
+                rows = rows.view(np.uint64)
+                key = _hashed(rows) if single else hashes[some]
+                one, low, of = _entries(key, rows, ids[self.text[some]])
+                self.of[some] = of + sum(len(p[0]) for p in parts)
+                parts.append((some[one], key[one], rows[one], low))
+            item, key, rows, low = (np.concatenate(x) for x in zip(*parts, strict=True))
+            one, low, of = _entries(key, rows, low)
+            self.of[items] = of[self.of[items]]
+            return item[one], key[one], rows[one], low
 
     def pass_two(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"bucket": [], "blk": [], "body": []})
         b = Block(pdf, list(zip(state["bucket"], state["body"], strict=True)))
-        rows = [(bucket, b.blk, _pack(np.diff(b.least[own], prepend=0), b.rows[b.item[own]])) for bucket, own in b.entries]
+        rows = [(bucket, b.blk, _pack(np.diff(b.least[own], prepend=0), b.rows[own])) for bucket, own in b.entries]
         return pd.DataFrame(rows, columns=["bucket", "blk", "body"])
 
     def opened(bodies, single: bool):
@@ -374,11 +384,7 @@ def repeated(docs: DataFrame, length: int = 50, gram: int = 26, id: str = "doc_i
             keyed = np.zeros((len(rows), -(-gram // 8) * 8), np.uint8)
             keyed[:, :gram] = np.take_along_axis(data, data[:, [-2]].astype(np.int64) + np.arange(gram), axis=1)
             keyed = keyed.view(np.uint64)
-        key = np.zeros(len(rows), np.uint64)
-        for w in keyed.T:
-            key = (key ^ w) * np.uint64(MULT)
-            key ^= key >> np.uint64(31)
-        return least, rows, key, [len(x[0]) for x in found]
+        return least, rows, _hashed(keyed), [len(x[0]) for x in found]
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each block's entries: which of their strings a smaller id than the entry's own has; of hot anchors, in the lane's blocks."""

@@ -183,6 +183,13 @@ def test_substrings_empty(spark):
     assert substrings.repeated(empty(spark)).count() == 0
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Runs of one character, and of a short period, of some hundred thousand bytes."""
+    rows = [(2, " " * 300_000), (1, "ab" * 1000), (3, "ab" * 150_000 + "c"), (4, " " * 60 + "x" + " " * 200_000), (5, " " * 49)]
+    got = {r["doc_id"]: r for r in substrings.digest(substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in range(1, 6)] == [(0, 0), (0, 0), (300_000, 1), (200_060, 2), (0, 0)]
+
+
 def test_a_common_line_with_other_neighbours(spark):
     """An anchor with as many contexts as documents, in and across blocks."""
     rng = random.Random(8)
