@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -664,3 +665,21 @@ def test_word_encoder_as_the_tokenizer():
     texts += ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x250, 64)] + [chr(c) + "a" + chr(c) for c in range(0x250)]
     for x in texts:
         assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
+def test_bodies_are_added_in_a_tree(spark):
+    """More tasks than one group adds at a time."""
+    from leafmill.llm.common import FAN, tree_added
+
+    def bodies(frames):
+        for pdf in frames:
+            for n in pdf["id"]:
+                yield pd.DataFrame({"part": [n % 2], "body": [int(n).to_bytes(8, "little")]})
+
+    def add(found):
+        assert len(found) <= FAN
+        return sum(int.from_bytes(b, "little") for b in found).to_bytes(8, "little")
+
+    rows = spark.range(0, 300, numPartitions=300).mapInPandas(bodies, "part int, body binary")
+    got = {r["part"]: int.from_bytes(r["body"], "little") for r in tree_added(rows, add).collect()}
+    assert got == {k: sum(n for n in range(300) if n % 2 == k) for k in (0, 1)}
