@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import checkpointed, ending, keep_oldest, unused
 
-CACHE, APART = 300_000, "<|startoftext|>"
+CACHE, APART = 400_000, "<|startoftext|>"
 
 
 class RoomTree:
@@ -149,10 +149,10 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text", keep: int = 0) -> DataFrame:
     """Per piece of at most ``capacity`` tokens: id, piece, start, length, ids_crc32. A document ends with the id ``end``.
 
-    Null texts are empty and make one piece; texts of any length are encoded whole and cut by tokens. Repeated rows make pieces each; extra columns are left out.
+    ``keep``: words of which a worker still knows the ids in its next task; results don't depend on it. Null texts are empty and make one piece; texts of any length are encoded whole and cut by tokens. Repeated rows make pieces each; extra columns are left out.
     """
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id: s
                 out.append([(n, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))])
             return pd.Series(out)
 
-        return ending(map(some, texts), e.cache.clear)
+        return ending(map(some, texts), lambda: keep_oldest(e.cache, keep))
 
     return docs.select(F.col(id).alias("doc_id"), F.explode(cut(F.col(text))).alias("p")).select("doc_id", "p.*")
 
