@@ -179,7 +179,7 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     pieces = pieces.select(*(c for c in pieces.columns if c not in ("sequence_id", "offset")))
     part, rank_, before_ = unused(pieces, "_part", "_rank", "_before")
-    pieces = checkpointed(pieces.withColumn(part, F.spark_partition_id()))
+    pieces = pieces.withColumn(part, F.spark_partition_id())
 
     def ranked(frames):
         """Ranks among the rows of a length that this task sees."""

@@ -683,3 +683,16 @@ def test_bodies_are_added_in_a_tree(spark):
     rows = spark.range(0, 300, numPartitions=300).mapInPandas(bodies, "part int, body binary")
     got = {r["part"]: int.from_bytes(r["body"], "little") for r in tree_added(rows, add).collect()}
     assert got == {k: sum(n for n in range(300) if n % 2 == k) for k in (0, 1)}
+
+
+def test_packing_writes_its_pieces_once(spark, monkeypatch):
+    """Ranks come with the pieces, so that the shared folder takes them in one pass, and a file for each task once."""
+    passes = []
+    monkeypatch.setattr(packing, "checkpointed", lambda df, f=packing.checkpointed: passes.append(df.columns) or f(df))
+    pieces = spark.range(0, 40, 1, 5).selectExpr("id AS doc_id", "cast(id % 3 + 1 AS int) AS length")
+    got = packing.packed(pieces, 8).collect()
+    assert len(passes) == 1 and sorted(r["doc_id"] for r in got) == list(range(40))
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(bins) == 10 and all(sum(n for _, n in own) <= 8 and sorted(own)[0][0] == 0 for own in bins.values())
