@@ -31,8 +31,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.without_copies(docs)
+    """One document of each group of near copies: fingerprints within 2 bits, as in op1, or a similarity of 0.8 or more of five-word shingles."""
+    return simhash.without_copies(docs, radius=2)
 
 
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,7 +363,14 @@ def _sweep(rows: DataFrame) -> DataFrame:
     return one.unionAll(other)
 
 
-def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _within(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that join all nodes (node, print) whose fingerprints differ in ``radius`` bits or fewer, by pigeonhole search."""
+    prints = checkpointed(nodes.groupBy(F.col("print").alias("fp")).agg(F.min("node").alias("id")))
+    equal = nodes.join(prints, F.col("print") == F.col("fp")).where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return checkpointed(equal.unionAll(links(prints.select("id", "fp"), radius)))
+
+
+def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
     """(id, node, keeper) of each row: ``node`` stands for its text, ``keeper`` tells the row that stays of each group of near copies.
 
     Texts are near if the Jaccard similarity of their sets of word shingles is at least ``similarity``; it is computed from all shingles of all
@@ -373,13 +380,17 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
     and a group of n near copies costs in proportion to n. Only texts that a key holds but that are not near cost the square of their number.
     The row with the smallest id stays (nulls last, then the smallest node); of repeated rows each is told to stay. Texts without words
     are near only to equal ones.
+
+    ``radius``: texts are near, too, if their fingerprints of 64 bits (see ``fingerprints``) differ in so many bits or fewer. All such are found,
+    by ``links``, and join the groups of the others; None: fingerprints aren't looked at.
     """
     most = most_bits(similarity)
 
-    @F.pandas_udf("n_grams int, fp array<long>, keys array<long>")
+    @F.pandas_udf("n_grams int, fp array<long>, keys array<long>, print long")
     def sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def some(s):
-            return pd.DataFrame([(len(g), long_fingerprint(g), keys_of(g)) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["n_grams", "fp", "keys"])
+            found = pd.DataFrame([(len(g), long_fingerprint(g), keys_of(g)) if len(g := shingles(t, shingle)) else (0, None, None) for t in s], columns=["n_grams", "fp", "keys"])
+            return found.assign(print=0 if radius is None else fingerprints(s.tolist()).view(np.int64))
 
         return ending(map(some, texts), forget)
 
@@ -408,6 +419,8 @@ def same_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: s
         edges = edges.unionAll(_linked(_few(rest) if turn < MERGES else _sweep(rest), grams, similarity))
         if turn < MERGES:
             rest = _open(rest, edges)
+    if radius is not None:
+        edges = edges.unionAll(_within(nodes.where("s.n_grams > 0").select("node", "s.print"), radius))
     comp = components(edges)
     classes = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     stays = classes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("_k"))
@@ -424,9 +437,9 @@ def node_of(text: str) -> Column:
     return F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies, as ``same_texts`` tells, in whole and with all columns."""
-    told = checkpointed(same_texts(docs, similarity, shingle, id, text))
+    told = checkpointed(same_texts(docs, similarity, shingle, id, text, radius))
     a, b = unused(docs, "__id", "__node")
     keyed = docs.withColumn(a, F.coalesce(F.col(id).cast("long"), F.lit(NO_ID))).withColumn(b, node_of(text))
     key = [F.coalesce("id", F.lit(NO_ID)).alias(a), F.col("node").alias(b)]

@@ -173,6 +173,34 @@ def test_cut_texts(spark):
     assert got[2]["lang"] == "de" and got[2]["n_chars"] is None and got[1]["n_chars"] == 3
 
 
+def test_single_links_fingerprints_too(spark, monkeypatch):
+    """Texts within 2 bits that share few five-word shingles are one group, whether found in a small bucket or a hot one; those farther apart aren't."""
+    rng = random.Random(11)
+    texts = ["", "  ", "one", "two"]
+    for _ in range(120):
+        line = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        tails = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randint(15, 60))] for _ in range(rng.randint(1, 3))]
+        texts += [" ".join(line * 4 + tail) for tail in tails]
+    rng.shuffle(texts)
+    group, _ = keepers(list(enumerate(texts)))
+    prints = simhash.fingerprints(texts)
+    apart = [[(int(a) ^ int(b)).bit_count() for b in prints] for a in prints]
+    root, near = list(range(len(texts))), [0, 0, 0]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if (close := a.strip() and b.strip() and apart[i][j] <= 2) or group[a] is group[b]:
+                if close and group[a] is not group[b]:
+                    near[apart[i][j]] += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = sorted({min(i for i, r in enumerate(root) if r == own) for own in root})
+    assert min(near[1:]) > 1 and len({min(g) for g in group.values()}) > len(want) > 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for bucket in (64, 1):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.single(spark, docs, SMALL).collect()) == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs.collect()
