@@ -178,19 +178,10 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     go, others stay. Empty tables give none.
     """
     pieces = pieces.select(*(c for c in pieces.columns if c not in ("sequence_id", "offset")))
-    part, rank_, before_ = unused(pieces, "_part", "_rank", "_before")
-    pieces = pieces.withColumn(part, F.spark_partition_id())
-
-    def ranked(frames):
-        """Ranks among the rows of a length that this task sees."""
-        seen = np.zeros(capacity + 1, np.int64)
-        for pdf in frames:
-            pdf[rank_] = pdf.groupby("length").cumcount().to_numpy() + seen[pdf["length"].to_numpy()]
-            seen += np.bincount(pdf["length"], minlength=capacity + 1)
-            yield pdf
-
-    local = checkpointed(pieces.mapInPandas(ranked, f"{_ddl(pieces)}, `{rank_}` long"))
-    by_part = local.groupBy(part, "length").agg(F.max(rank_).alias("m")).withColumn("n", F.col("m") + 1)
+    part, row, rank_, before_ = unused(pieces, "_part", "_row", "_rank", "_before")
+    # written as they come: ranked by Python in the same stage, each task would keep a second worker beside the one that encodes
+    local = checkpointed(pieces.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+    by_part = local.groupBy(part, "length").agg(F.count("*").alias("n"))
     before = by_part.withColumn(before_, F.sum("n").over(Window.partitionBy("length").orderBy(part)) - F.col("n")).select(part, "length", before_)
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = {k: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for k, rows in best_fit_decreasing(counts, capacity).items()}
@@ -206,11 +197,8 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 ranks, first, off = plan[int(n)]
                 k = np.searchsorted(ranks, rank[at], "right") - 1
                 bins[at], offset[at] = first[k] + rank[at] - ranks[k], off[k]
-            yield pdf.drop(columns=[part, rank_, before_]).assign(sequence_id=bins, offset=offset)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != part)
-    return local.join(before, [part, "length"]).select(*local.columns, before_).mapInPandas(placed, f"{kept}, sequence_id long, offset long")
-
+            yield pdf.drop(columns=[part, row, rank_, before_]).assign(sequence_id=bins, offset=offset)
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    ranked = local.withColumn(rank_, F.row_number().over(Window.partitionBy(part, "length").orderBy(row)).cast("long") - 1)  # in its task's order
+    return ranked.join(before, [part, "length"]).select(*ranked.columns, before_).mapInPandas(placed, f"{kept}, sequence_id long, offset long")

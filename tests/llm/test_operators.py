@@ -696,3 +696,17 @@ def test_packing_writes_its_pieces_once(spark, monkeypatch):
     for r in got:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert len(bins) == 10 and all(sum(n for _, n in own) <= 8 and sorted(own)[0][0] == 0 for own in bins.values())
+
+
+def test_packing_keeps_one_worker_a_task(spark, monkeypatch):
+    """Pieces are made and written by one step in Python: a second one in the same stage would keep a second worker for each core of an executor."""
+    import public_tokenizers as P
+
+    plans = []
+    monkeypatch.setattr(packing, "checkpointed", lambda df, f=packing.checkpointed: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(30)], "doc_id long, text string").repartition(4)
+    got = packing.packed(packing.pieces(docs, P.path("word_bpe_49k.json"), 16), 16)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert [len(re.findall(r"ArrowEvalPython|MapInPandas|FlatMap\w+InPandas", p)) for p in plans] == [1, 1]
+    rows = [(r["doc_id"], r["piece"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == sum(-(-(2 * i + 1) // 16) for i in range(30))
