@@ -189,3 +189,10 @@ def test_batches_and_streams(spark, tmp_path):
     assert sorted(os.path.relpath(r["file"], tmp_path) for r in files) == ["md/a/a.md", "md/b/b.md", "md/d/d.md"]
     (tmp_path / "none").mkdir()
     assert convert.run(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).count() == 0 and not (tmp_path / "nothing").exists()
+
+
+def test_entities_without_a_semicolon(spark):
+    """HTML5 decodes some of them; with ``closed`` they stay, wherever in the text they stand and even where dropped tags or decoding make one."""
+    texts = ["a &amp</title><b> &am", "&copy &copy; &amp;copy &#65 &#65;", "&am</i>p;", "&notit; &lt;x &ampamp;"]
+    assert column(spark, S.unescape, texts) == ["a &</title><b> &am", "© © &copy A A", "&am</i>p;", "¬it; <x &amp;"]
+    assert column(spark, lambda c: S.unescape(c, closed=True), texts) == ["a &amp</title><b> &am", "&copy © &copy &#65 A", "&am</i>p;", "&notit; <x &ampamp;"]
