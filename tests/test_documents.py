@@ -196,3 +196,7 @@ def test_entities_without_a_semicolon(spark):
     texts = ["a &amp</title><b> &am", "&copy &copy; &amp;copy &#65 &#65;", "&am</i>p;", "&notit; &lt;x &ampamp;"]
     assert column(spark, S.unescape, texts) == ["a &</title><b> &am", "© © &copy A A", "&am</i>p;", "¬it; <x &amp;"]
     assert column(spark, lambda c: S.unescape(c, closed=True), texts) == ["a &amp</title><b> &am", "&copy © &copy &#65 A", "&am</i>p;", "&notit; <x &ampamp;"]
+    pages = ["<p>x&&amp</p>", "<title>y&am</title><style>p{}</style>&copy &amp;copy &amp;&amp; &copy;", "&amp", "<table><tr><td>&amp &amp;</td></tr></table>", None]
+    closed = column(spark, lambda c: H.html_to_markdown(c, closed=True), pages)
+    assert closed == ["x&&amp", "y&amp{}&copy &copy && ©", "&amp", "| &amp & |\n| --- |", None]
+    assert column(spark, H.html_to_markdown, pages) == ["x&&", "y&{}© © && ©", "&", "| & & |\n| --- |", None]
