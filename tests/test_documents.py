@@ -200,3 +200,17 @@ def test_entities_without_a_semicolon(spark):
     closed = column(spark, lambda c: H.html_to_markdown(c, closed=True), pages)
     assert closed == ["x&&amp", "y&amp{}&copy &copy && ©", "&amp", "| &amp & |\n| --- |", None]
     assert column(spark, H.html_to_markdown, pages) == ["x&&", "y&{}© © && ©", "&", "| & & |\n| --- |", None]
+
+
+def test_rows_share_batches(spark):
+    """What is made of small rows travels together; a batch that is full goes at once, and no row is lost or out of order."""
+    from leafmill.sources import batches
+
+    def make(n, text):
+        return [(n, k, text, [{"a": text, "b": b"x"}]) for k in range(n % 3)]
+
+    frame = spark.createDataFrame([(n, "y" * (batches.BATCH_BYTES if n == 50 else 1)) for n in range(100)], "n int, text string").coalesce(1)
+    found = batches.made(frame, ["n", "text"], make, [("n", "int"), ("k", "int"), ("t", "string"), ("l", "array<struct<a: string, b: binary>>")])
+    sizes = found.select("n", "k").mapInArrow(lambda bs: (b for b in bs), "n int, k int").collect()
+    assert [tuple(r) for r in sizes] == [(n, k) for n in range(100) for k in range(n % 3)]
+    assert found.where("n = 50").selectExpr("length(t)", "length(l[0].a)").first()[:] == (batches.BATCH_BYTES, batches.BATCH_BYTES)

@@ -47,3 +47,17 @@ def test_the_entry_imports_without_a_session():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, timeout=120).returncode == 0
+
+
+#: Queries whose work is done for each of the given rows of a table in as many tasks as these need, not as their bytes do.
+DEALT = ["docx_rels"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_work_is_dealt_by_the_number_of_rows(spark, monkeypatch, name):
+    from leafmill.plans import html
+    from leafmill.sources import samples
+
+    monkeypatch.setattr(samples, "DOCUMENTS_A_TASK", 4)  # of 10 suppliers
+    monkeypatch.setattr(html, "TEXTS_A_TASK", 70)  # of 200 parts
+    assert "RoundRobinPartitioning(3)" in registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
