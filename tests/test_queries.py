@@ -61,3 +61,10 @@ def test_work_is_dealt_by_the_number_of_rows(spark, monkeypatch, name):
     monkeypatch.setattr(samples, "DOCUMENTS_A_TASK", 4)  # of 10 suppliers
     monkeypatch.setattr(html, "TEXTS_A_TASK", 70)  # of 200 parts
     assert "RoundRobinPartitioning(3)" in registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["docx_pairs"])
+def test_packages_are_read_once_for_all_joins(spark, name):
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and all("InMemoryRelation" in scan for scan in plan.split("InMemoryTableScan")[1:])
+    assert plan.count("MapInArrow") == plan.count("InMemoryRelation")
