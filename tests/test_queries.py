@@ -50,7 +50,7 @@ def test_the_entry_imports_without_a_session():
 
 
 #: Queries whose work is done for each of the given rows of a table in as many tasks as these need, not as their bytes do.
-DEALT = ["docx_rels", "heading_bookmarks"]
+DEALT = ["docx_rels", "heading_bookmarks", "formulas"]
 
 
 @pytest.mark.parametrize("name", DEALT)
