@@ -214,3 +214,13 @@ def test_rows_share_batches(spark):
     sizes = found.select("n", "k").mapInArrow(lambda bs: (b for b in bs), "n int, k int").collect()
     assert [tuple(r) for r in sizes] == [(n, k) for n in range(100) for k in range(n % 3)]
     assert found.where("n = 50").selectExpr("length(t)", "length(l[0].a)").first()[:] == (batches.BATCH_BYTES, batches.BATCH_BYTES)
+
+
+def test_few_listings(spark):
+    from leafmill.tables import few_listings
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    with few_listings(spark):
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism < int(before)
+    assert spark.conf.get(key) == before
