@@ -68,3 +68,11 @@ def test_packages_are_read_once_for_all_joins(spark, name):
     plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in plan and all("InMemoryRelation" in scan for scan in plan.split("InMemoryTableScan")[1:])
     assert plan.count("MapInArrow") == plan.count("InMemoryRelation")
+
+
+def test_written_folders_are_listed_from_their_root(spark):
+    """Not folder by folder on the driver, as a pattern of paths is."""
+    for name in ("asset_files", "md_files"):
+        df = registry.QUERIES[name](spark, SMALL)
+        roots = df._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths()
+        assert roots.size() == 1 and df.count() == 10
