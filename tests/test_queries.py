@@ -50,7 +50,7 @@ def test_the_entry_imports_without_a_session():
 
 
 #: Queries whose work is done for each of the given rows of a table in as many tasks as these need, not as their bytes do.
-DEALT = ["docx_rels", "heading_bookmarks", "formulas", "md_pdf", "md_blocks", "md_block_styles", "docx_assets", "docx_to_md", "picture_assets", "docx_html", "validate_docx", "nested_lists", "html_footnotes", "anchored_headings", "ole_objects", "xlsx_cells", "docx_parts", "textboxes"]
+DEALT = ["docx_rels", "heading_bookmarks", "formulas", "md_pdf", "md_blocks", "md_block_styles", "docx_assets", "docx_to_md", "picture_assets", "docx_html", "validate_docx", "nested_lists", "html_footnotes", "anchored_headings", "ole_objects", "xlsx_cells", "docx_parts", "textboxes", "table_edges"]
 
 
 @pytest.mark.parametrize("name", DEALT)
