@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.sinks.files import write_tables
 from leafmill.sources import docx
+from leafmill.tables import few_listings
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,6 +28,7 @@ def convert_new(spark: SparkSession, source: str, out: str, checkpoint: str, com
         write_tables(batch.persist(), f"{out}/batch={number}", "overwrite")
         batch.unpersist()
 
-    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with few_listings(spark):  # each batch lists its files anew
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return sum(p.get("numInputRows", 0) for p in query.recentProgress)

@@ -224,3 +224,13 @@ def test_few_listings(spark):
     with few_listings(spark):
         assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism < int(before)
     assert spark.conf.get(key) == before
+
+
+def test_a_stream_lists_its_batches_by_few_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.docx").write_bytes(samples.document(samples.paragraph(samples.run("one")), []))
+    key, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(incremental, "write_tables", lambda *a: seen.append(spark.conf.get(key)))
+    incremental.convert_new(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks"))
+    assert seen == [str(4 * spark.sparkContext.defaultParallelism)] and spark.conf.get(key) == before
