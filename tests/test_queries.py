@@ -76,3 +76,8 @@ def test_written_folders_are_listed_from_their_root(spark):
         df = registry.QUERIES[name](spark, SMALL)
         roots = df._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location().rootPaths()
         assert roots.size() == 1 and df.count() == 10
+
+
+def test_relational_conversion_reads_each_package_once_for_all_joins(spark):
+    leaves = registry.QUERIES["docx_relational"](spark, SMALL)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert {leaves.apply(n).nodeName().split()[0] for n in range(leaves.size())} == {"InMemoryRelation"}
