@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def plan(found: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """``found`` with a status: skipped if ``done`` has its key, unless forced; else todo. A null key is never done."""
+def plan(found: DataFrame, done: DataFrame, key: str, force: bool = False, wide: bool = False) -> DataFrame:
+    """``found`` with a status: skipped if ``done`` has its key, unless forced; else todo. A null key is never done.
+    If ``found`` is ``wide``, as contents of files are, the keys go to it and it isn't shuffled."""
     if force:
         return found.withColumn("status", F.lit("todo"))
     marks = done.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_done", F.lit(True))
-    return found.join(marks, key, "left").withColumn("status", F.when(F.col("_done"), "skipped").otherwise("todo")).drop("_done")
+    return found.join(F.broadcast(marks) if wide else marks, key, "left").withColumn("status", F.when(F.col("_done"), "skipped").otherwise("todo")).drop("_done")
 
 
 def outcome(planned: DataFrame, failed: DataFrame, key: str) -> DataFrame:

@@ -45,12 +45,12 @@ def run(spark: SparkSession, source: str, out: str, force: bool = False, compat:
     An empty folder makes nothing.
     """
     found = with_stem(docx.scan(spark, source).select("path", "content"))
-    if found.select("path").isEmpty():
+    if not found.select("path").take(1):
         return spark.createDataFrame([], "status string, n long")
-    done = spark.read.parquet(f"{out}/documents").select("path") if not force and _exists(spark, f"{out}/documents") else spark.createDataFrame([], "path string")
-    planned = batch.plan(found, done, "path", force)
+    done = spark.read.parquet(f"{out}/documents").select("path") if not force and _exists(spark, f"{out}/documents") else None
+    planned = batch.plan(found, done, "path", done is None, wide=True)
     to = f"{out.rstrip('/')}.{uuid.uuid4().hex}" if force else f"{out.rstrip('/')}/run-{uuid.uuid4().hex}"
-    before = done.join(found.select("path"), "path", "left_semi").count()
+    before = 0 if done is None else done.join(found.select("path"), "path", "left_semi").count()
     # each file is parsed once: its tables are read from this, and what comes after counts from it
     docx.converted(planned.where("status = 'todo'"), compat).write.parquet(f"{to}/converted")
     made = spark.read.parquet(f"{to}/converted")

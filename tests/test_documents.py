@@ -234,3 +234,19 @@ def test_a_stream_lists_its_batches_by_few_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(incremental, "write_tables", lambda *a: seen.append(spark.conf.get(key)))
     incremental.convert_new(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks"))
     assert seen == [str(4 * spark.sparkContext.defaultParallelism)] and spark.conf.get(key) == before
+
+
+def test_contents_are_not_shuffled_to_skip_what_is_done(spark, tmp_path):
+    from leafmill.operators import batch
+
+    found = spark.createDataFrame([("a", b"x"), ("b", b"y"), (None, b"z")], "path string, content binary")
+    done = spark.createDataFrame([("b",), (None,)], "path string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        planned = batch.plan(found, done, "path", wide=True)
+        plan = planned._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(str, planned.select("content", "status").collect())) == sorted(map(str, batch.plan(found, done, "path").select("content", "status").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
